@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_ann, jaccard_join, line_quality, secret_scan, token_counts, warc_store
+from . import block_ann, jaccard_join, line_quality, mixing, packing, secret_scan, token_counts, warc_store
 from .common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.page_records(table(spark, sf_dir, "pages"))
 
@@ -37,5 +45,5 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_block_ann, op5_warc_store, op6_token_counts, op7_jaccard_join, op8_secret_scan, op10_line_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_block_ann, op3_pfair_mixing, op5_warc_store, op6_token_counts, op7_jaccard_join, op8_secret_scan, op10_line_quality)}
 ORACLE: dict[str, str] = {}
