@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_ann, context_tree, jaccard_join, line_quality, mixing, packing, secret_scan, token_counts, warc_store
+from . import attention_quality, block_ann, context_tree, jaccard_join, line_quality, mixing, packing, secret_scan, token_counts, warc_store
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.page_records(table(spark, sf_dir, "pages"))
 
@@ -49,5 +53,5 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_block_ann, op3_pfair_mixing, op5_warc_store, op6_token_counts, op7_jaccard_join, op8_secret_scan, op9_context_tree, op10_line_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_block_ann, op3_pfair_mixing, op4_attention_quality, op5_warc_store, op6_token_counts, op7_jaccard_join, op8_secret_scan, op9_context_tree, op10_line_quality)}
 ORACLE: dict[str, str] = {}
