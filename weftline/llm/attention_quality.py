@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import fold_of, sub_batches, text_or_empty
+from .common import fold_of, ready, sub_batches, text_or_empty
 from .shingles import WordNumbers
 
 PASSAGE_WORDS = 80
@@ -186,7 +185,7 @@ def _bags(batches):
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, folds: int = FOLDS) -> Model | None:
     """The model of the labelled documents outside fold 0, or None without two kinds of labels."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     key = F.col(id_col).cast("long")
     known = labels.where(F.col(label_col).isNotNull() & key.isNotNull() & (fold_of(id_col, folds) != 0)).groupBy(key.alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     small = docs.where(F.octet_length(text_or_empty(text_col)) <= sample_bytes).select(key.alias("_id"))
@@ -203,7 +202,7 @@ def with_scores(docs: DataFrame, model: Model | None, *, text_col: str = "text",
     """docs and the score of every whole text."""
     if model is None:
         return docs.withColumn(score_col, F.lit(0.5))
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     numbers: list[WordNumbers] = []
 

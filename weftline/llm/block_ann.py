@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .common import ready
+
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
 #: int8 products of this many components add up exactly in a float32 matrix product.
@@ -89,7 +90,7 @@ def sound(vector: Column, dim: Column) -> Column:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query row."""
-    ship(vectors.sparkSession)
+    ready(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0))
     sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()

@@ -1,65 +1,26 @@
-"""Shared pieces: intermediate tables in the shared folder, text helpers, CRC hold-outs."""
+"""Shared pieces: worker set-up, text helpers, CRC hold-outs."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of every word contract: blank, and U+0009 to U+000D.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+from ..session import ship
+from ..storage import fresh_path, written
 
-    Where the setting is absent (local tests) a temporary folder is made and set; a
-    cluster always names its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder; removed when the driver ends."""
-    path = f"{shared_folder(spark)}/weftline/{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["SPACES", "fold_of", "fresh_path", "ready", "sub_batches", "table", "text_or_empty", "written"]
 
+#: White space of every word contract: blank, and U+0009 to U+000D.
+SPACES = " \t\n\x0b\x0c\r"
 
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session has ended already
-            return
+#: Rows of an Arrow batch: documents can be long, and a worker holds a batch with what it makes of it.
+BATCH_ROWS = 1000
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: lineage is cut there, and a lost
-    executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def ready(spark: SparkSession) -> None:
+    """Python workers can import this package, and get batches of bounded size."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import written
+from .common import ready, written
 
 ROUNDS = 60
 
@@ -39,7 +38,7 @@ def forest(batches):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that isn't the least of its component. edges: two columns of longs."""
-    ship(edges.sparkSession)
+    ready(edges.sparkSession)
     e = written(edges.mapInArrow(forest, "node long, root long").distinct(), "edges")
     before = None
     for _ in range(ROUNDS):

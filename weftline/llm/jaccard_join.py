@@ -33,14 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import fresh_path, written
+from .common import fresh_path, ready, written
 from .components import components
 from .shingles import WordNumbers, digest_of, shingle_sets
 
 FRAGMENTS = 4
 #: Shingles counted together before those seen once are left out of the order's counts.
-SHARE = 4_000_000
+SHARE = 1_500_000
 #: The order's common shingles: at least this often, and so many at most (12 bytes each are broadcast).
 COMMON, MOST_COMMON = 16, 1 << 20
 #: Sets that one list holds before it is salted, and node digests (8 bytes each) that may be broadcast.
@@ -168,15 +167,15 @@ def _long_enough(small: Column, large: Column, percent: int) -> Column:
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links) of every row of docs."""
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     described = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_described, "kind byte, a long, b long, n int"), "described")
     sets = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("digest"), "n")
     common = described.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("c")).where(F.col("c") >= COMMON)
-    top = common.orderBy(F.desc("c"), "token").limit(MOST_COMMON).toPandas()
-    values = top.token.to_numpy(np.int64).view(np.uint64)
+    top = common.orderBy(F.desc("c"), "token").limit(MOST_COMMON).toArrow()
+    values = top["token"].to_numpy().view(np.uint64)
     by_value = np.argsort(values)
-    order = spark.sparkContext.broadcast((values[by_value], np.minimum(top.c.to_numpy(np.int64), 2**31 - 1).astype(np.int32)[by_value]))
+    order = spark.sparkContext.broadcast((values[by_value], np.minimum(top["c"].to_numpy(), 2**31 - 1).astype(np.int32)[by_value]))
 
     # lists of sets by prefix shingle, without lists of one set
     lists = W.partitionBy("token", "salt").orderBy("n", "digest")
@@ -196,7 +195,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     ids = rows.select("digest").distinct()
     nodes = None
     if ids.limit(MOST_NODES + 1).count() <= MOST_NODES:
-        nodes = spark.sparkContext.broadcast(np.sort(ids.toPandas().digest.to_numpy(np.int64)))
+        nodes = spark.sparkContext.broadcast(np.sort(ids.toArrow()["digest"].to_numpy()))
     made = texts.mapInArrow(_segments(order, nodes), "digest long, fragment int, segment array<long>")
     if nodes is None:
         made = made.join(ids, "digest", "left_semi")

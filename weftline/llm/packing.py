@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import SPACES, text_or_empty
+from .common import SPACES, ready, text_or_empty
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a sequence costs beside its tokens.
@@ -141,7 +140,7 @@ def word_length(text_col: str = "text") -> Column:
 def pack(docs: DataFrame, length: Column | None = None, *, id_col: str = "doc_id", capacities: Sequence[int] = CAPACITIES, costs: Mapping[int, float] | None = None) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset, bin_capacity, bin_fill of every piece."""
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     capacities = sorted(capacities)
     most = capacities[-1]
     whole = docs.select(F.col(id_col).alias("doc_id"), (length if length is not None else word_length()).cast("long").alias("whole"))

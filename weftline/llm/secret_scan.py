@@ -26,8 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import sub_batches, text_or_empty
+from .common import ready, sub_batches, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -209,7 +208,7 @@ class Scanner:
 
 def scan_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = (*BASE, *EXTRA), text_col: str = "text") -> DataFrame:
     """docs with a column secrets: array of (kind, start, end), by start, then the rules' order."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     kept: list[Scanner] = []
     held = docs.sparkSession.sparkContext.broadcast(rules)
 
@@ -227,7 +226,7 @@ def scan_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = (*BASE, *EXTRA),
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]", **options) -> DataFrame:
     """docs with every secret span replaced by mark; overlapping spans become one. A null text stays null."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     columns = docs.columns
 
     @F.pandas_udf("string")

@@ -19,8 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import text_or_empty
+from .common import ready, text_or_empty
 
 #: Fixed value: the pattern of byte-level pre-tokens, as public_tokenizers documents it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -187,7 +186,7 @@ class Counter:
 
 def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     model = load_model(tokenizer_path)
     sent = docs.sparkSession.sparkContext.broadcast((model, prove_whole(model)))  # bounded by the vocabulary
     kept: list[Counter] = []
