@@ -31,12 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import fold_of, sub_batches, written
+from .common import fold_of, ready, sub_batches, written
 
 DEPTH = 4
 MOST_GRAMS = 1 << 20
-MOST_WORDS = 1 << 18
+MOST_WORDS = 1 << 17
 HELD = 3_000_000
 END = 0xFF
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -257,15 +256,31 @@ class Lookup:
         return out
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows of counts (column n): all from some frequency on, in steps of a sixteenth of a doubling.
+
+    The threshold comes from a histogram of at most a thousand rows, so nothing is sorted on the driver.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    sizes = {r.step: r.c for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect()}
+    least, total = max(sizes, default=0) + 1, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > most:
+            break
+        least = k
+    return counts.where(step >= least)
+
+
 def train_tree(texts: DataFrame) -> tuple[Tree, np.ndarray, np.ndarray]:
     """The tree of a table of training texts (one column), and its deepest runs with their log2."""
     counts = written(texts.mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     grams = []
     for d in range(DEPTH, -1, -1):
-        top = counts.orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).toPandas()  # bounded
-        runs = top.gram.to_numpy(np.int64).view(np.uint64)
+        top = most_frequent(counts, MOST_GRAMS).toArrow()  # bounded
+        runs = top["gram"].to_numpy().view(np.uint64)
         order = np.argsort(runs)
-        grams.insert(0, (runs[order], top.n.to_numpy(np.float64)[order]))
+        grams.insert(0, (runs[order], top["n"].to_numpy()[order].astype(np.float64)))
         if d:
             mask = (1 << 8 * d) - 1
             counts = counts.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n"))
@@ -322,7 +337,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of
     the tree's probability of the whole text) of every row."""
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     held = fold_of(id_col, folds) == held_fold
     training = docs.where(~held).select(F.col(text_col).cast("string").alias("text"))
     model = spark.sparkContext.broadcast(train_tree(training))
@@ -330,8 +345,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     counts = written(training.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where("word is null").first()
-    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(MOST_WORDS).toPandas()  # bounded
-    known = spark.sparkContext.broadcast(dict(zip(map(bytes, top.word), np.log10(top.n.to_numpy(np.float64) + 1).tolist())))
+    top = most_frequent(counts.where("word is not null"), MOST_WORDS).toArrow()  # bounded
+    known = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), np.log10(top["n"].to_numpy() + 1.0).tolist())))
+    del top
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     schema = "kind byte, tag long, doc_id long, held_out boolean, tokens long, known long, logs double, score double, word binary, times int"
