@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_quality, block_ann, context_tree, jaccard_join, line_quality, mixing, packing, secret_scan, token_counts, warc_store
+from . import attention_quality, block_ann, context_tree, jaccard_join, line_quality, mixing, oracle, packing, secret_scan, token_counts, warc_store
 from .common import table
 
 
@@ -28,7 +28,7 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_store.page_records(table(spark, sf_dir, "pages"))
+    return warc_store.page_records(table(spark, sf_dir, "pages")).drop("record_bytes")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +54,4 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_block_ann, op3_pfair_mixing, op4_attention_quality, op5_warc_store, op6_token_counts, op7_jaccard_join, op8_secret_scan, op9_context_tree, op10_line_quality)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_block_ann": oracle.OP2, "op5_warc_store": oracle.OP5, "op7_jaccard_join": oracle.OP7, "op10_line_quality": oracle.OP10}
