@@ -474,3 +474,22 @@ def test_frequent_lines_deplete_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r.doc_id for r in line_quality.quality_rules(df).where("kept").collect()}
     assert kept == {*range(40, 150), 200, 201}
+
+
+# ---- SQL
+
+
+@pytest.mark.parametrize("name", ["op2_block_ann", "op5_warc_store", "op7_jaccard_join", "op10_line_quality"])
+def test_results_match_their_sql(spark, small, name):
+    import duckdb
+
+    from weftline.llm.queries import ORACLE
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    got = QUERIES[name](spark, small)
+    want = con.execute(ORACLE[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert Counter(map(tuple, got.select(*columns).collect())) == Counter(want.fetchall())
