@@ -50,4 +50,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once nothing that is still to run reads them."""
+    for df in tables:
+        drop_path(df.sparkSession, df._written_at)
