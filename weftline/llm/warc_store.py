@@ -26,8 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import fresh_path
+from .common import fresh_path, ready
 
 #: Fixed values of the WARC 1.1 standard.
 VERSION = "WARC/1.1"
@@ -78,8 +77,9 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     def store(df: DataFrame, name: str) -> None:
         (df.write.format("parquet").bucketBy(n, "address").sortBy("address").option("compression", "zstd").option("path", fresh_path(spark, name)).saveAsTable(name))
 
-    once = rows.groupBy("address", "n_bytes").agg(F.first("payload").alias("payload"), F.max("rid").alias("top"))
-    store(once.withColumn("sha1", base32_of_sha1(F.col("payload"))).repartition(n, "address"), names.payloads)
+    # the aggregate's own shuffle deals out by address as the buckets do
+    once = rows.groupBy("address").agg(F.first("payload").alias("payload"), F.first("n_bytes").alias("n_bytes"), F.max("rid").alias("top"))
+    store(once.withColumn("sha1", base32_of_sha1(F.col("payload"))), names.payloads)
 
     tops = spark.table(names.payloads).select("address", "sha1", "top")
     head = rows.select("rid", "uri", "address", "n_bytes").join(tops, "address")
@@ -150,7 +150,7 @@ def parse_warc(data: bytes):
 def import_warc(spark: SparkSession, path: str) -> DataFrame:
     """header and block of each record of the WARC files below path, a file at a time."""
 
-    ship(spark)
+    ready(spark)
     def parse(batches):
         import pandas as pd
 
