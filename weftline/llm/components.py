@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, written
+from ..storage import forget, written
+from .common import ready
 
 ROUNDS = 60
 
@@ -47,7 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(small, "a")
-        e = written(linked.select(F.col("b").alias("node"), F.col("m").alias("root")).where("node != root").union(small.select("a", "m")).distinct(), "edges")
+        last, e = e, written(linked.select(F.col("b").alias("node"), F.col("m").alias("root")).where("node != root").union(small.select("a", "m")).distinct(), "edges")
+        forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if now == before:
             return e

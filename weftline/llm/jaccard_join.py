@@ -5,13 +5,14 @@
 2. A global order of shingles: those that repeat within many tasks' shares of the corpus come last,
    by their count; the others stand in the order of their numbers. Any total order gives right
    results; this one keeps common passages out of prefixes.
-3. Two sets that link share a shingle of their prefixes (the first n - ceil(0.8 n) + 1 in order).
-   For each shingle the sets that have it in their prefix are listed by size, and neighbours in
-   the lists are the first candidates.
+3. Two sets that link share a shingle of their prefixes (the first n - ceil(0.8 n) + 1 in order). For each
+   shingle the sets that have it in their prefix are listed by size. The first candidates are neighbours in
+   many lists, and each set with the hub of its lists: the set that holds the most common shingles.
 4. Vertical partitioning: the order is cut into fragments, each set into one segment per fragment.
    The overlap of a candidate pair is counted in each fragment separately and summed per pair.
 5. Links join sets into components. Then all pairs in a list that are still in different components
-   are candidates, whatever their number; pairs inside a component need no further check, so a group
+   are candidates, whatever their number, if the places of a shared shingle leave both sets room for a
+   link's overlap (the first shared shingle of a link always does); pairs inside a component need no further check, so a group
    of near copies is never expanded into all its pairs. In each list the sets of its largest
    component only meet those of other components.
 
@@ -33,15 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, ready, written
+from ..storage import drop_path, forget, fresh_path, written
+from .common import ready
 from .components import components
 from .shingles import WordNumbers, digest_of, shingle_sets
 
 FRAGMENTS = 4
 #: Shingles counted together before those seen once are left out of the order's counts.
-SHARE = 1_500_000
+SHARE = 4_000_000
 #: The order's common shingles: at least this often, and so many at most (12 bytes each are broadcast).
-COMMON, MOST_COMMON = 16, 1 << 20
+COMMON, MOST_COMMON = 8, 1 << 20
 #: Sets that one list holds before it is salted, and node digests (8 bytes each) that may be broadcast.
 LIST, MOST_NODES = 20_000, 1 << 21
 
@@ -97,7 +99,7 @@ def _prefixes(order, percent: int):
         numbers, seen = WordNumbers(), set()
         common = Order(*order.value)
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], [], []]
             for s in shingle_sets(batch.column(0).to_pylist(), numbers):
                 if not len(s) or (d := digest_of(s)) in seen:
                     continue
@@ -114,8 +116,10 @@ def _prefixes(order, percent: int):
                 out[1].append(np.where(salts > 1, 1 + np.int64(d) % np.maximum(salts, 1).astype(np.int64), 0).astype(np.int32))
                 out[2].append(np.full(p, d, np.int64))
                 out[3].append(np.full(p, len(s), np.int32))
+                out[4].append(np.arange(p, dtype=np.int32))
+                out[5].append(np.full(p, counts.mean(), np.float32))
             if out[0]:
-                yield _records(["token", "salt", "digest", "n"], *map(np.concatenate, out))
+                yield _records(["token", "salt", "digest", "n", "pos", "score"], *map(np.concatenate, out))
 
     return run
 
@@ -160,8 +164,43 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.lit(100) * F.col("overlap") >= percent * (F.col("nl") + F.col("nr") - F.col("overlap")))
 
 
+def _promising(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (l, r, nl, nr; nl <= nr) of the first round: of fitting sizes, and met in a third of the prefix
+    shingles that a link shares. One of two prefixes ends first in the order; what the sets share beyond its end
+    lies in the rest of that set, which has least_overlap(n) - 1 shingles."""
+    least = F.expr(f"({percent}L * (nl + nr) + {99 + percent}) div {100 + percent} - ({percent}L * nr + 99) div 100 + 1")
+    return pairs.where(_long_enough(F.col("nl"), F.col("nr"), percent) & (3 * F.col("shared") >= least)).drop("shared")
+
+
+def _segments_of(pairs: DataFrame, texts: DataFrame, order) -> tuple[str, str]:
+    """Name and path of a table of the segments of all sets in pairs, bucketed for both of their joins."""
+    spark = texts.sparkSession
+    ids = pairs.select(F.explode(F.array("l", "r")).alias("digest")).distinct()
+    nodes = None
+    if ids.limit(MOST_NODES + 1).count() <= MOST_NODES:
+        nodes = spark.sparkContext.broadcast(np.sort(ids.toArrow()["digest"].to_numpy()))
+    made = texts.mapInArrow(_segments(order, nodes), "digest long, fragment int, segment array<long>")
+    if nodes is None:
+        made = made.join(ids, "digest", "left_semi")
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name, path = f"weft_segments_{uuid.uuid4().hex}", fresh_path(spark, "segments")
+    made = made.repartition(buckets, "digest").dropDuplicates(["digest", "fragment"])
+    made.write.format("parquet").bucketBy(buckets, "digest").option("path", path).saveAsTable(name)
+    return name, path
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, order, percent: int) -> DataFrame:
+    """The pairs that link, written; their segments are dropped again."""
+    spark = texts.sparkSession
+    name, path = _segments_of(pairs, texts, order)
+    found = written(_linked(pairs, spark.table(name), percent).select("l", "r"), "links")
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, path)
+    return found
+
+
 def _long_enough(small: Column, large: Column, percent: int) -> Column:
-    return F.lit(100) * small >= percent * large
+    return F.lit(100) * small.cast("long") >= F.lit(percent) * large.cast("long")
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -179,49 +218,46 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     # lists of sets by prefix shingle, without lists of one set
     lists = W.partitionBy("token", "salt").orderBy("n", "digest")
-    rows = texts.mapInArrow(_prefixes(order, percent), "token long, salt int, digest long, n int")
+    rows = texts.mapInArrow(_prefixes(order, percent), "token long, salt int, digest long, n int, pos int, score float")
     rows = rows.withColumn("prev", F.lag("digest").over(lists)).withColumn("prev_n", F.lag("n").over(lists)).withColumn("next", F.lead("digest").over(lists))
+    rows = rows.withColumn("hub", F.max(F.struct("score", "n", "digest")).over(W.partitionBy("token", "salt")))
     new, last = F.coalesce(F.col("prev") != F.col("digest"), F.lit(False)), F.coalesce(F.col("next") != F.col("digest"), F.lit(False))
     rows = rows.where(new | last | (F.col("salt") > 0) & F.col("prev").isNull()).withColumn("prev", F.when(new, F.col("prev")))
-    rows = written(rows.drop("next"), "lists")
-
-    heads = rows.where("salt > 0").groupBy("token", "salt").agg(F.min(F.struct("n", "digest")).alias("h")).select("token", "h.n", "h.digest")
-    by_token = W.partitionBy("token").orderBy("n", "digest")
-    heads = heads.select(F.lag("digest").over(by_token).alias("l"), F.col("digest").alias("r"), F.lag("n").over(by_token).alias("nl"), F.col("n").alias("nr")).where("l is not null and l != r")
-    first = rows.where("prev is not null").select(F.col("prev").alias("l"), F.col("digest").alias("r"), F.col("prev_n").alias("nl"), F.col("n").alias("nr"))
-    first = written(first.union(heads).where(_long_enough(F.col("nl"), F.col("nr"), percent)).distinct(), "pairs")
-
-    # segments of the sets in lists, stored once, bucketed for all joins
-    ids = rows.select("digest").distinct()
-    nodes = None
-    if ids.limit(MOST_NODES + 1).count() <= MOST_NODES:
-        nodes = spark.sparkContext.broadcast(np.sort(ids.toArrow()["digest"].to_numpy()))
-    made = texts.mapInArrow(_segments(order, nodes), "digest long, fragment int, segment array<long>")
-    if nodes is None:
-        made = made.join(ids, "digest", "left_semi")
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"weft_segments_{uuid.uuid4().hex}"
-    made = made.repartition(buckets, "digest").dropDuplicates(["digest", "fragment"])
-    made.write.format("parquet").bucketBy(buckets, "digest").option("path", fresh_path(spark, "segments")).saveAsTable(name)
-    segments = spark.table(name)
-
-    linked = components(_linked(first, segments, percent).select("l", "r"))
+    rows = written(rows.select("token", "digest", "n", "pos", "salt", "score", "prev", "prev_n", F.col("hub.n").alias("hub_n"), F.col("hub.digest").alias("hub")), "lists")
+
+    # first candidates: neighbours in a list, and every set with the list's hub, the set that holds most common shingles
+    heads = rows.where("salt > 0").groupBy("token", "salt").agg(F.min(F.struct("n", "digest")).alias("h"), F.max(F.struct("score", "n", "digest")).alias("t"))
+    by_token = W.partitionBy("token").orderBy("h.n", "h.digest")
+    top = F.max("t").over(W.partitionBy("token"))
+    heads = heads.withColumn("top", top).withColumn("prev", F.lag("h").over(by_token))
+    ordered = lambda df, a, an, b, bn: df.where((F.col(a) != F.col(b)) & F.col(a).isNotNull()).select(F.least(F.struct(F.col(an).alias("n"), F.col(a).alias("d")), F.struct(F.col(bn).alias("n"), F.col(b).alias("d"))).alias("x"), F.greatest(F.struct(F.col(an).alias("n"), F.col(a).alias("d")), F.struct(F.col(bn).alias("n"), F.col(b).alias("d"))).alias("y"))
+    first = ordered(rows, "prev", "prev_n", "digest", "n").union(ordered(rows, "hub", "hub_n", "digest", "n"))
+    first = first.union(ordered(heads, "prev.digest", "prev.n", "h.digest", "h.n")).union(ordered(heads, "top.digest", "top.n", "t.digest", "t.n"))
+    first = first.groupBy(F.col("x.d").alias("l"), F.col("y.d").alias("r"), F.col("x.n").alias("nl"), F.col("y.n").alias("nr")).agg(F.count("*").alias("shared"))
+    # those that meet in a few lists only are left to the second round
+    first = written(_promising(first, percent), "pairs")
+    links = _checked(first, texts, order, percent)
+    linked = components(links)
 
     # pairs of lists that are in different components still
-    members = rows.select("token", "digest", "n").distinct().join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    members = rows.select("token", "digest", "n", "pos").distinct().join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     members = written(members, "members")
     shares = members.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     mixed = members.join(shares.select("token", F.col("top.root").alias("main")), "token")
-    few = mixed.where("root != main").select("token", F.col("digest").alias("d1"), F.col("n").alias("n1"), F.col("root").alias("r1"))
+    few = mixed.where("root != main").select("token", F.col("digest").alias("d1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("root").alias("r1"))
     met = few.join(mixed, "token").where((F.col("r1") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("d1") < F.col("digest"))))
-    met = met.where(_long_enough(F.least("n", "n1"), F.greatest("n", "n1"), percent))
+    # the first shingle that a link's sets share leaves them room for their overlap
+    met = met.where(F.expr(f"least(n - pos, n1 - pos1) >= ({percent}L * (n + n1) + {99 + percent}) div {100 + percent}"))
     swap = F.col("n1") < F.col("n")
     swap = swap | (F.col("n1") == F.col("n")) & (F.col("d1") < F.col("digest"))
     second = met.select(F.when(swap, F.col("d1")).otherwise(F.col("digest")).alias("l"), F.when(swap, F.col("digest")).otherwise(F.col("d1")).alias("r"), F.least("n", "n1").alias("nl"), F.greatest("n", "n1").alias("nr")).distinct()
-    second = second.join(first.select("l", "r"), ["l", "r"], "left_anti")
-    more = written(_linked(second, segments, percent).select("l", "r"), "links")
-    if not more.isEmpty():
+    second = written(second.join(first.select("l", "r"), ["l", "r"], "left_anti"), "pairs")
+    forget(rows, members)
+    if not second.isEmpty():
+        more = _checked(second, texts, order, percent)
         linked = components(more.union(linked))
+        forget(more)
+    forget(first, second, links)
 
     # the least id of each class, back to the rows
     least = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
