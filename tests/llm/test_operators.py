@@ -366,6 +366,24 @@ def test_redaction(spark):
     assert got == {1: "é [secret] end", 2: None, 3: "[secret] x", 4: "plain"}
 
 
+def test_whole_secrets_are_redacted(spark):
+    lines = "\n".join(chr(65 + i) * 63 + "/" for i in range(20))
+    label = "RSA PRIVATE KEY-----"
+    tail = "b1/" * 5
+    secrets = [
+        f"-----BEGIN {label}\n{lines}\nQ==\n-----END {label}",
+        f"-----BEGIN {label}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{lines}\n-----END {label}",
+        f"-----BEGIN {label}\\n{lines[:64]}\\n{tail}\\n-----END {label}",
+        f"-----BEGIN {label}\r\nProc-Type: 4,ENCRYPTED\r\n\r\n{lines}\n{tail}",
+        "ghp_" + "a1" * 200, "xoxb-" + "1a-" * 200, "https://" + "u" * 150 + ":" + "p" * 150 + "@",
+    ]
+    df = spark.createDataFrame([(i, f"before {s}\n after it") for i, s in enumerate(secrets)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert got == {i: "before [secret]\n after it" for i in range(len(secrets))}
+    scanner = secret_scan.Scanner(secret_scan.EXTRA)
+    assert [len(x) for x in scanner.scan(["-----BEGIN PRIVATE KEY----- is a mark " * 2000, f"the line -----BEGIN {label} only", f"-----END {label}"])] == [2000, 1, 0]
+
+
 # ---- language model
 
 

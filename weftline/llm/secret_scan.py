@@ -51,11 +51,17 @@ BASE = (
 )
 #: Kinds that this operator adds to the base ones.
 EXTRA = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"),
-    Rule("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b"),
-    Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,250}"),
+    # from the BEGIN line to the END line; where that is missing (a cut text), to the end of the header and key lines
+    Rule(
+        "private_key",
+        r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+        r"(?:(?:(?!-----)[\s\S])*+-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+        r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:\r?\n[A-Za-z0-9+/=]{1,15}(?=[\t\r ]*(?:\n|\Z)))?)?)",
+    ),
+    Rule("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
+    Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"\b(?:https?|ftp|postgres|mysql|mongodb)://[^\s:/@]{1,100}:[^\s:/@]{3,100}@"),
+    Rule("url_login", r"\b(?:https?|ftp|postgres|mysql|mongodb)://[^\s:/@]+:[^\s:/@]{3,}@"),
 )
 
 MOST_STRINGS = 64
