@@ -494,6 +494,15 @@ def test_frequent_lines_deplete_documents(spark):
     assert kept == {*range(40, 150), 200, 201}
 
 
+def test_spacing_hides_no_frequent_line(spark):
+    spaced = lambda i: "".join(f"{'\t' if k % 5 == i % 5 else ' ' * (1 + (k + i) % 3)}N{k}" for k in range(60))
+    rows = [(i, f"{spaced(i)}\n{i} own", "h") for i in range(40)] + [(i, " ".join(f"w{i}x{k}" for k in range(12)), "h") for i in range(40, 100)]
+    # only a removed line is left of this one beside indentation and blank lines
+    rows += [(100, " " * 500 + spaced(0) + "\n" * 300, "h")]
+    kept = {r.doc_id for r in line_quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("kept").collect()}
+    assert kept == set(range(40, 100))
+
+
 # ---- SQL
 
 

@@ -1,9 +1,10 @@
 """Quality rules on cross-document line frequency, in DataFrame operations only.
 
-Lines are normalised (letters to lower case, white space at the ends trimmed) and hashed. For each host the distinct documents of each line are counted; documents with
+Lines are normalised (letters to lower case, white space runs to one blank, ends trimmed) and
+hashed. For each host the distinct documents of each line are counted; documents with
 equal texts on a host are one document. A line is above the limit if it is in at least
 ``least_docs`` and in more than ``most_share`` of the host's distinct documents. Such lines are
-removed, and a document is depleted if less than ``least_left`` of its bytes remain.
+removed, and a document is depleted if less than ``least_left`` of its words remain.
 
 Shuffles carry hashes only, never texts. Distinct (host, line, document) rows are dealt out by all
 three, and the counts are partly summed before their shuffle, so a host or line that a third of all
@@ -69,25 +70,22 @@ def base_rules(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     )
 
 
-def normalised(line: str) -> Column:
-    return F.lower(F.btrim(F.col(line), F.lit(SPACES)))
-
-
 def depleted_documents(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", least_docs: int = 20, most_share: float = 0.1) -> DataFrame:
     """(host, text hash, text size, gone) of every document that holds lines above the limits: the
-    number of bytes of such lines, normalised."""
+    number of words of such lines."""
     text = text_or_empty(text_col)
     key = [F.col(host_col).alias("host"), F.xxhash64(text).alias("doc"), F.octet_length(text).alias("size")]
     copies = docs.select(*key).groupBy("host", "doc", "size").agg(F.count("*").alias("copies"))
     hosts = copies.groupBy("host").agg(F.count("*").alias("host_docs"))
-    lines = docs.select(*key, F.explode(F.split(text, "\n")).alias("line")).withColumn("line", normalised("line")).where("line != ''")
+    lines = docs.select(*key, F.explode(F.split(text, "\n")).alias("line"))
+    lines = lines.withColumn("words", words_of(F.col("line"))).where(F.size("words") > 0).withColumn("line", F.lower(F.array_join("words", " ")))
     # the lines of a document's copies are summed together
-    rows = lines.groupBy("host", "doc", "size", F.xxhash64("line").alias("hash")).agg(F.sum(F.octet_length("line")).alias("bytes"))
+    rows = lines.groupBy("host", "doc", "size", F.xxhash64("line").alias("hash")).agg(F.sum(F.size("words")).alias("words"))
     counts = rows.groupBy("host", "hash").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") >= least_docs)
     frequent = counts.alias("c").join(hosts.alias("h"), F.expr("c.host <=> h.host")).where(F.col("in_docs") > most_share * F.col("host_docs")).select("c.host", "hash")
     found = rows.alias("r").join(frequent.alias("f"), F.expr("r.host <=> f.host and r.hash = f.hash"))
-    gone = found.groupBy("r.host", "doc", "size").agg(F.sum("bytes").alias("bytes"))
-    return gone.alias("g").join(copies.alias("c"), F.expr("g.host <=> c.host and g.doc = c.doc and g.size = c.size")).select("g.host", "g.doc", "g.size", (F.col("bytes") / F.col("copies")).alias("gone"))
+    gone = found.groupBy("r.host", "doc", "size").agg(F.sum("words").alias("words"))
+    return gone.alias("g").join(copies.alias("c"), F.expr("g.host <=> c.host and g.doc = c.doc and g.size = c.size")).select("g.host", "g.doc", "g.size", (F.col("words") / F.col("copies")).alias("gone"))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", least_left: float = 0.25, **limits) -> DataFrame:
@@ -100,5 +98,5 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "s
     copies = base.alias("b").join(gone.alias("g"), F.expr("b.host <=> g.host and b.doc = g.doc and b.size = g.size"), "left")
     return copies.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & ~(F.coalesce(F.col("gone"), F.lit(0)) > (1 - least_left) * F.col("b.size"))).alias("kept"),
+        (~failed & ~(F.coalesce(F.col("gone"), F.lit(0)) > (1 - least_left) * F.col("n_words"))).alias("kept"),
     )
