@@ -146,6 +146,28 @@ def test_schedule_rows(odd_docs, no_docs):
     assert mixed.columns == odd_docs.columns and mixed.count() == odd_docs.count()
 
 
+def test_given_weights_hold_over_the_whole_horizon(spark, monkeypatch):
+    cases = [{"big": 0.5} | {f"s{i}": 0.025 for i in range(20)}, {"big": 0.5} | {f"s{i}": 0.0005 for i in range(1000)}, {"a": 0.9999, "b": 0.0001}, {f"s{i}": n**0.5 for i, n in enumerate([66_667, *[7_000] * 19])}]
+    for weights in cases:
+        total, seen, last = math.fsum(weights.values()), Counter(), {}
+        blocks = {s: math.ceil(20_000 * w / total) for s, w in weights.items()}
+        for s, j, slot, release, deadline in mixing.whole_schedule(weights, blocks):
+            share = weights[s] / total
+            # before and after each of its blocks: its deviation is largest there
+            assert release <= slot < deadline and j == seen[s] and abs(j - share * slot) < 1 + 1e-6 and abs(j + 1 - share * (slot + 1)) < 1 + 1e-6
+            assert slot > last.get(None, -1)
+            seen[s], last[None] = j + 1, slot
+        assert seen == blocks
+    # a run-out source leaves its slots empty; sources without a weight come last
+    late = list(mixing.whole_schedule({"a": 0.5, "b": 0.5, "c": 0}, {"a": 1, "b": 4, "c": 2}))
+    assert [x[2] for x in late if x[0] == "b"] == [1, 2, 4, 6] and [x[0] for x in late[-2:]] == ["c", "c"]
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', if(id % 3 = 1, 'b', null)) as source")
+    want = sorted(map(tuple, mixing.schedule(df, {"a": 0.3, "b": 0.7}, block_rows=8).collect()), key=str)
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    assert len(want) == 3000 and sorted(map(tuple, mixing.schedule(df, {"a": 0.3, "b": 0.7}, block_rows=8).collect()), key=str) == want
+
+
 # ---- quality
 
 
