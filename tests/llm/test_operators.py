@@ -331,6 +331,15 @@ def test_classes_of_odd_rows(odd_docs, no_docs):
     assert jaccard_join.near_duplicate_classes(no_docs).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (None, a), (1, b), (3, b + " tail"), (None, b), (None, c), (None, c), (None, c + " tail"), (5, ""), (5, ""), (6, None), (None, None), (None, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")).collect()
+    got = sorted((r.doc_id, r.text) for r in kept if r.text and not r.text.startswith("c"))
+    assert got == [(1, a), (1, b)] and [r.doc_id for r in kept if (r.text or "").startswith("c")] == [None]
+    assert sorted(((r.doc_id, r.text) for r in kept if not r.text), key=str) == sorted(rows[-5:], key=str)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(60)]

@@ -57,15 +57,15 @@ def _records(names: list[str], *arrays) -> pa.RecordBatch:
 
 
 def _described(batches):
-    """Of each document: id, digest, size; then shingles seen twice or more in a share of the task."""
+    """Of each document: id, digest, size, hash of the text; then shingles seen twice or more in a share of the task."""
     numbers, held, n_held = WordNumbers(), [], 0
-    names = ["kind", "a", "b", "n"]
+    names = ["kind", "a", "b", "n", "h"]
 
     def common():
         nonlocal held, n_held
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         held, n_held, often = [], 0, counts > 1
-        return _records(names, np.ones(often.sum(), np.int8), values[often].view(np.int64), np.zeros(often.sum(), np.int64), counts[often].astype(np.int32))
+        return _records(names, np.ones(often.sum(), np.int8), values[often].view(np.int64), np.zeros(often.sum(), np.int64), counts[often].astype(np.int32), np.zeros(often.sum(), np.int64))
 
     for batch in batches:
         ids, digests, sizes = batch.column(0), [], []
@@ -76,7 +76,7 @@ def _described(batches):
             n_held += len(s)
             if n_held >= SHARE:
                 yield common()
-        yield _records(names, np.zeros(len(ids), np.int8), ids, np.array(digests, np.int64), np.array(sizes, np.int32))
+        yield _records(names, np.zeros(len(ids), np.int8), ids, np.array(digests, np.int64), np.array(sizes, np.int32), batch.column(2))
     if held:
         yield common()
 
@@ -203,13 +203,18 @@ def _long_enough(small: Column, large: Column, percent: int) -> Column:
     return F.lit(100) * small.cast("long") >= F.lit(percent) * large.cast("long")
 
 
-def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links) of every row of docs."""
+def _text_hash(col: str) -> Column:
+    return F.xxhash64(F.col(col).cast("string"))
+
+
+def _classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n, h) of every row of docs, h being the hash of its text; and (digest, root, component_id) of
+    every set of shingles."""
     spark = docs.sparkSession
     ready(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    described = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_described, "kind byte, a long, b long, n int"), "described")
-    sets = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("digest"), "n")
+    described = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("h")).mapInArrow(_described, "kind byte, a long, b long, n int, h long"), "described")
+    sets = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("digest"), "n", "h")
     common = described.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("c")).where(F.col("c") >= COMMON)
     top = common.orderBy(F.desc("c"), "token").limit(MOST_COMMON).toArrow()
     values = top["token"].to_numpy().view(np.uint64)
@@ -262,19 +267,32 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     # the least id of each class, back to the rows
     least = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = least.join(roots, "root").select("digest", "component_id")
+    return sets, least.join(roots, "root").select("digest", "root", "component_id")
+
+
+def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable by links) of every row of docs."""
+    sets, classes = _classes(docs, **options)
     back = sets.where("n > 0").join(classes, "digest").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return back.union(sets.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs of which one of each class of near duplicates stays: that with the least id.
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs of which one of each class of near duplicates stays: that with the least id, a null id
+    last; of rows with one id, that with the least hash of its text, and of rows with equal ids and texts any one.
 
-    Documents without shingles all stay; of rows with equal ids and texts one stays.
+    Documents without shingles all stay.
     """
-    classes = near_duplicate_classes(docs, id_col=id_col, **options)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    once = docs
-    return once.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay")), "left_semi")
-
-
+    sets, classes = _classes(docs, id_col=id_col, text_col=text_col, **options)
+    # rows with equal ids and texts are one row from here on
+    rows = sets.groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.first("digest").alias("digest"), F.first("n").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "times"))
+    ones = rows.where("n > 0").join(classes, "digest").groupBy("root").agg(first.alias("r")).select("r.doc_id", "r.h", (F.col("r.times") > 1).alias("again"))
+    stay = written(ones.union(rows.where("n = 0").select("doc_id", "h", F.lit(False))).toDF("_id", "_h", "_again"), "stay")
+    names = docs.columns
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(id_col).cast("long").alias("_key"), _text_hash(text_col).alias("_hash"))
+    kept = held.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    once = kept.where("not _again").select("_row")
+    if not stay.where("_again").isEmpty():
+        once = once.union(kept.where("_again").groupBy("_id", "_h").agg(F.first("_row").alias("_row")).select("_row"))
+    return once.select("_row.*")
