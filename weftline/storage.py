@@ -5,19 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The setting spark.checkpoint.dir.
+    """The setting spark.checkpoint.dir, which a cluster always names.
 
-    Where it is absent (local tests) a temporary folder is made and set; a cluster always names its own.
+    Where it is absent on one machine (local tests) a temporary folder is made and set; elsewhere that is an error, as other
+    machines would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,12 +42,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh_table(spark: SparkSession, label: str) -> tuple[str, str]:
+    """A new table name and its path; the table goes, too, when the driver ends."""
+    name = f"weft_{label}_{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
+    _tables.append((spark, name))
+    return name, path
+
+
+def drop_table(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    drop_path(spark, path)
+
+
 def _clean() -> None:
+    for spark, name in _tables:
+        with suppress(Exception):  # the session has ended already, or a table can't be dropped
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _made:
-        try:
+        with suppress(Exception):
             drop_path(spark, path)
-        except Exception:  # the session has ended already
-            return
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
