@@ -98,10 +98,10 @@ def brute(ids, x, q, k):
     return [(i, -s) for s, i in sorted(scores)[:k]]
 
 
-@pytest.mark.parametrize("blocks", [(1024, 8192), (7, 40)])
-def test_neighbours(spark, monkeypatch, blocks):
-    monkeypatch.setattr(block_ann, "QUERY_BLOCK", blocks[0])
-    monkeypatch.setattr(block_ann, "CANDIDATE_BLOCK", blocks[1])
+@pytest.mark.parametrize("limits", [{}, {"QUERY_BLOCK": 7, "CANDIDATE_BLOCK": 40, "QUERY_PART": 3, "CANDIDATE_PART": 6}, {"CANDIDATE_BLOCK": 50, "MOST_SURVIVORS": 0.5, "CANDIDATE_PART": 8}])
+def test_neighbours(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(block_ann, k, v)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 9)).astype(np.float32)
     x[20:90] = x[20]  # many equal vectors
@@ -115,6 +115,23 @@ def test_neighbours(spark, monkeypatch, blocks):
         assert [(c, s) for _, c, s in sorted(found)] == brute(list(range(150)), x, q, 20) and sorted(r for r, _, _ in found) == list(range(1, 21))
 
 
+def test_sizes_of_any_order(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 5)) * 10.0 ** rng.choice([-320, -300, -10, 0, 100, 150], size=(60, 1))
+    x = x[np.abs(x).max(axis=1) > 0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in block_ann.nearest(df, F.col("vec_id") % 7 == 0, 5).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in range(0, len(x), 7):
+            scores = [inner(x[q], y) for y in x]
+            found = sorted(got[q])
+            assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
+            worst = found[-1][2]
+            assert all(s == scores[c] for _, c, s in found) and all(not s > worst for c, s in enumerate(scores) if c != q and c not in {c for _, c, _ in found})
+
+
 def test_few_or_no_candidates(spark):
     schema = "vec_id long, embedding array<float>"
     assert block_ann.nearest(spark.createDataFrame([], schema), F.col("vec_id") % 2 == 0).count() == 0
@@ -275,8 +292,9 @@ def shingles(text):
 
 
 def classes(texts):
+    """Of each id: shingles, least id reachable, links."""
     sets = {i: shingles(t) for i, t in texts.items()}
-    lists, shared, up = defaultdict(list), Counter(), {i: i for i in texts}
+    lists, shared, up, links = defaultdict(list), Counter(), {i: i for i in texts}, Counter()
     for i, s in sets.items():
         for x in s:
             lists[x].append(i)
@@ -292,9 +310,11 @@ def classes(texts):
 
     for (a, b), o in shared.items():
         if 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+            links[a] += 1
+            links[b] += 1
             a, b = sorted((top(a), top(b)))
             up[b] = a
-    return {i: (len(sets[i]), top(i)) for i in texts}
+    return {i: (len(sets[i]), top(i), links[i]) for i in texts}
 
 
 def variants(rng, n):
@@ -311,23 +331,23 @@ def variants(rng, n):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"COMMON": 2, "LIST": 3, "SHARE": 2000, "MOST_NODES": 5}])
+@pytest.mark.parametrize("limits", [{}, {"COMMON": 2, "LIST": 3, "SHARE": 2000, "MOST_NODES": 5, "SAMPLED": 2, "SEEN": 4, "HEAVY": 2, "LOOKED_AT": 20, "BLOCK_SETS": 3, "COLUMNS": 7}, {"HEAVY": 1, "MOST_HEAVY": 1, "BLOCK_SHINGLES": 200}])
 def test_classes_match_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard_join, k, v)
     texts = variants(random.Random(6), 400)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts.items()], "doc_id long, text string, n int, digest long")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_classes(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.near_duplicate_classes(df).collect()}
     assert got == classes(texts)
 
 
 def test_classes_of_odd_rows(odd_docs, no_docs):
     got = jaccard_join.near_duplicate_classes(odd_docs).toPandas()
     by = {None if pd.isna(r.doc_id) else int(r.doc_id): (r.n_shingles, None if pd.isna(r.component_id) else int(r.component_id)) for r in got.itertuples()}
-    assert len(got) == odd_docs.count() and by[1][1] == by[2][1] == by[3][1] == 1 and by[4] == (0, 4) and by[5] == (0, 5) and by[7] == (1, 7) and by[None][1] is None
+    assert len(got) == odd_docs.count() and by[1][1] == by[2][1] == by[3][1] == 1 and by[4] == (0, 4) and by[5] == (0, 5) and sorted(got[got.doc_id < 4].n_links) == [2, 2, 2] and by[7] == (1, 7) and by[None][1] is None
     kept = jaccard_join.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 4, 5, 6, 7, 7, None, 9, 10, 11, 12], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 4, 5, 6, 7, None, 9, 10, 11, 12], key=str)
     assert jaccard_join.near_duplicate_classes(no_docs).count() == 0
 
 
@@ -469,24 +489,33 @@ def test_scores_match_a_brute_force_tree(spark, odd_docs, no_docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(own), sum(words[w] > 0 for w in own), total)
         assert r.base_score == pytest.approx(sum(math.log10((words[w] + 1) / (total + kinds + 1)) for w in own))
         want = sum(math.log10(p if bit else 1 - p) for c, n, bit in decisions(lined[r.doc_id]) for p in [one(c, n)])
-        assert r.score == pytest.approx(want, rel=1e-5)
+        assert r.score == pytest.approx(want, rel=1e-5) and r.bits_per_byte == pytest.approx(-want / math.log10(2) / (len(lined[r.doc_id]) - depth), rel=1e-5)
     odd = context_tree.score_texts(odd_docs)
     assert odd.count() == odd_docs.count() and odd.where("score >= 0 or base_score > 0").count() == 0
     assert context_tree.score_texts(no_docs).count() == 0
 
 
-def test_bounded_models(spark, monkeypatch, odd_docs):
-    """Small bounds change neither the word scores nor that the next byte's probabilities add up to one."""
-    want = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score) for r in context_tree.score_texts(odd_docs).collect()}
-    monkeypatch.setattr(context_tree, "MOST_WORDS", 3)
-    monkeypatch.setattr(context_tree, "MOST_GRAMS", 50)
-    monkeypatch.setattr(context_tree, "HELD", 500)
-    got = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score) for r in context_tree.score_texts(odd_docs).collect()}
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(v[1] == pytest.approx(want[k][1]) for k, v in got.items())
-    tree, _, _ = context_tree.train_tree(odd_docs.select("text"))
-    for context in (0xFFFFFFFF, 0x20616161, 0x01020304):
+def test_caches_change_nothing(spark, monkeypatch, odd_docs):
+    row = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, pytest.approx(r.base_score), pytest.approx(r.score, rel=1e-6), pytest.approx(r.bits_per_byte, rel=1e-6))
+    rows = lambda: [row(r) for r in sorted(context_tree.score_texts(odd_docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))]
+    want = rows()
+    for k, v in {"CACHED_WORDS": 3, "CACHED": 50, "HELD": 500, "PARTS": 7}.items():
+        monkeypatch.setattr(context_tree, k, v)
+    assert [x[:4] for x in rows()] == [x[:4] for x in want] and rows() == want
+
+
+def test_probabilities_of_a_byte_add_up_to_one():
+    rng = np.random.default_rng(12)
+    texts = [bytes(rng.choice(list(b"abc "), 60)) for _ in range(30)]
+    counts = context_tree.Counts()
+    counts.add(context_tree.laid_out(texts)[0], True)
+    counts.settle()
+    trees = context_tree.Subtrees(counts.keys, counts.n)
+    key, zeros, ones, below = trees.summary()
+    top = context_tree.Top(key, zeros, ones, below)
+    for context in (0xFFFFFFFFFFFF, 0x616263206162, 0x010203040506, 0x010203206162):
         runs = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert np.exp2(tree.log2_of(runs)).sum() == pytest.approx(1)
+        assert np.exp2(trees.log2_of(runs, top)).sum() == pytest.approx(1)
 
 
 # ---- quality rules

@@ -21,7 +21,7 @@ def test_stages(spark, small, tmp_path):
     assert sum(i in ids[1] for i in good) >= 0.97 * len(good)
     assert sum(i in ids[1] for i, q in labels.items() if q == 0) <= 0.3 * sum(q == 0 for q in labels.values())
     kept = {r.doc_id: r.text for r in tables[1].collect()}
-    assert ids[2] == {i for i, (n, c) in classes(kept).items() if n == 0 or i == c}
+    assert ids[2] == {i for i, (n, c, _) in classes(kept).items() if n == 0 or i == c}
     assert ids[3] == ids[4] == ids[5] == ids[2]
     assert not any(spans_of(r.text) for r in tables[3].collect())
     assert tables[3].where(F.col("n_chars") != F.length("text")).count() == 0

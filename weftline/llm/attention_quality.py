@@ -11,11 +11,14 @@ source and id are never inputs of a score.
 
 Defined results: a null or empty text is a bag of one empty passage; texts without labels are scored like others; without
 any usable label all scores are 1/2; several labels of one id count as their largest; a null label doesn't count; repeated
-rows each get their own row; an empty table gives no rows; extra columns are ignored.
+rows each get their own row, with equal scores; an empty table gives no rows; extra columns are ignored, and accepted()
+keeps them as they are; long texts are encoded piece by piece, cut at passages, and their features take about as much memory
+as the text; of sampled documents with equal hashes the least ids come first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, ready, sub_batches, text_or_empty
-from .shingles import WordNumbers
+from .common import SUB_BYTES, clear_name, fold_of, give_back, ready, sub_batches, text_or_empty, tidied
+from .shingles import joined, pieces, words_in
 
 PASSAGE_WORDS = 80
 HASHED = 64
 HIDDEN = 32
 SAMPLE, SAMPLE_BYTES = 4000, 60_000
 EPOCHS = 15
+#: Texts of more bytes are encoded piece by piece.
+LONG = 2 * SUB_BYTES - 1
 FOLDS = 5
 
 #: Byte classes whose shares are features.
@@ -47,54 +52,48 @@ def _classes() -> np.ndarray:
     return out
 
 
-CLASS_OF = _classes()
+CLASS_OF = _classes().astype(np.int32)
 FEATURES = len(CLASSES) + 9 + HASHED
 
 
-def encode(texts: list[bytes], numbers: WordNumbers) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages, and the number of passages of each text (at least one)."""
-    words = [numbers.of(t) for t in texts]
-    n_words = np.array([len(w) for w in words], np.int64)
+def encode(texts: list[bytes], ended: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages, and the number of passages of each text (at least one). A passage's bytes go up to
+    the next passage's first word. ended: not for a piece of one text after which more comes, which ends with white space."""
+    data, stops = joined(texts) if ended else (np.frombuffer(texts[0], np.uint8), np.array([len(texts[0])]))
+    all_words, starts, ends = words_in(data)
+    upto = np.searchsorted(starts, stops)
+    n_words = np.diff(upto, prepend=0)
     n_bags = np.maximum(1, -(-n_words // PASSAGE_WORDS))
     first = np.cumsum(n_bags) - n_bags
     total = int(n_bags.sum())
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    white = (data == 32) | ((data >= 9) & (data <= 13))
-    begins = ~white
-    begins[1:] &= white[:-1]
-    so_far = np.cumsum(begins)
-    before = np.concatenate([[0], np.cumsum(n_words)])
-    inside = np.maximum(so_far - before[doc] - 1, 0)  # the number of the word that a byte is in or follows
-    bag = first[doc] + np.minimum(inside // PASSAGE_WORDS, n_bags[doc] - 1)
-    shares = np.bincount(bag * len(CLASSES) + CLASS_OF[data], minlength=total * len(CLASSES)).reshape(total, -1).astype(np.float64)
+    bag_doc = np.repeat(np.arange(len(texts)), n_bags)
+    inner = np.arange(total) - first[bag_doc]
+    begins = np.concatenate([[0], stops[:-1]])[bag_doc]
+    begins[inner > 0] = starts[((upto - n_words)[bag_doc] + inner * PASSAGE_WORDS)[inner > 0]]
+    bag = np.repeat(np.arange(total, dtype=np.int32), np.diff(begins, append=len(data)))
+    shares = np.bincount(bag * np.int32(len(CLASSES)) + CLASS_OF[data], minlength=total * len(CLASSES)).reshape(total, -1).astype(np.float64)
     n_bytes = np.maximum(shares.sum(axis=1, keepdims=True), 1)
     out = np.zeros((total, FEATURES))
     out[:, : len(CLASSES)] = shares / n_bytes
 
-    all_words = np.concatenate(words) if len(words) else np.zeros(0, np.uint64)
-    w_doc = np.repeat(np.arange(len(texts)), n_words)
-    place = np.arange(len(all_words)) - before[w_doc]
-    w_bag = first[w_doc] + place // PASSAGE_WORDS
-    count = np.maximum(np.bincount(w_bag, minlength=total), 1)
-    starts = np.flatnonzero(begins)
-    lengths = np.bincount(so_far[~white] - 1, minlength=len(all_words)).astype(np.float64) if len(all_words) else np.zeros(0)
+    in_bag = np.minimum(PASSAGE_WORDS, n_words[bag_doc] - inner * PASSAGE_WORDS)
+    w_bag = np.repeat(np.arange(total), in_bag)
+    count = np.maximum(in_bag, 1)
+    lengths = (ends - starts).astype(np.float64)
     sums = lambda x: np.bincount(w_bag, x, total) / count
     mean = sums(lengths)
     upper_first = (data[starts] >= 65) & (data[starts] <= 90)
-    order = np.lexsort((all_words, w_bag))
-    new = np.ones(len(order), bool)
-    new[1:] = (all_words[order][1:] != all_words[order][:-1]) | (w_bag[order][1:] != w_bag[order][:-1])
-    distinct = np.bincount(w_bag[order][new], minlength=total) / count
+    # 44 bits of each word's number under its passage
+    keys = np.sort(w_bag.astype(np.uint64) << np.uint64(44) | all_words >> np.uint64(20))
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    key_bag = (keys[edges] >> np.uint64(44)).astype(np.int64)
     same = np.zeros(len(all_words))
     same[1:] = (all_words[1:] == all_words[:-1]) & (w_bag[1:] == w_bag[:-1])
     top = np.zeros(total)
-    if len(order):
-        edges = np.flatnonzero(new)
-        np.maximum.at(top, w_bag[order][edges], np.diff(np.append(edges, len(order))))
-    high_share = shares[:, CLASSES.index("high")] / np.maximum(n_bytes[:, 0], 1)
+    np.maximum.at(top, key_bag, np.diff(edges, append=len(keys)))
+    high_share = shares[:, CLASSES.index("high")] / n_bytes[:, 0]
     letters = shares[:, :2].sum(axis=1)
-    extra = (mean / 10, np.sqrt(np.maximum(sums(lengths**2) - mean**2, 0)) / 5, sums(upper_first.astype(np.float64)), distinct, sums(same), top / count, np.log1p(np.bincount(w_bag, minlength=total)) / 5, shares[:, 1] / np.maximum(letters, 1), high_share**0.5)
+    extra = (mean / 10, np.sqrt(np.maximum(sums(lengths**2) - mean**2, 0)) / 5, sums(upper_first.astype(np.float64)), np.bincount(key_bag, minlength=total) / count, sums(same), top / count, np.log1p(in_bag) / 5, shares[:, 1] / np.maximum(letters, 1), high_share**0.5)
     for i, x in enumerate(extra):
         out[:, len(CLASSES) + i] = x
     bucket = (all_words % np.uint64(HASHED)).astype(np.int64)
@@ -104,6 +103,28 @@ def encode(texts: list[bytes], numbers: WordNumbers) -> tuple[np.ndarray, np.nda
     return out, n_bags
 
 
+def whole_passages(text: bytes, most: int = LONG):
+    """Pieces of a long text, cut before the first word of a passage, and whether a piece is the last."""
+    rest = b""
+    for piece in pieces(text, most):
+        rest += piece
+        _, starts, _ = words_in(np.frombuffer(rest + b"\n", np.uint8))
+        if (k := (len(starts) - 1) // PASSAGE_WORDS * PASSAGE_WORDS) > 0:
+            yield rest[: starts[k]], False
+            rest = rest[starts[k] :]
+    yield rest, True
+
+
+def encoded(texts: list[bytes]):
+    """(features, passages of each text) of some texts after others, all of them; long ones piece by piece."""
+    for a, b in sub_batches(texts):
+        if b == a + 1 and len(texts[a]) > LONG:
+            x = np.concatenate([encode([p], last)[0] for p, last in whole_passages(texts[a])])
+            yield x, np.array([len(x)])
+        else:
+            yield encode(texts[a:b])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -151,8 +172,9 @@ class Model:
 def learn(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, decay: float = 1e-4) -> Model:
     """Adam over mini-batches of documents; the same bags give the same model."""
     rng = np.random.default_rng(seed)
-    stacked = np.concatenate(bags)
-    mean, spread = stacked.mean(axis=0), stacked.std(axis=0) + 1e-3
+    n = sum(map(len, bags))
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n
+    spread = np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / n) + 1e-3
     init = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     p = {"W": init(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": init(HIDDEN, HIDDEN), "U": init(HIDDEN, HIDDEN), "w": init(HIDDEN), "c": init(HIDDEN), "d": np.zeros(1)}
     model = Model(p | {"mean": mean, "spread": spread})
@@ -161,7 +183,7 @@ def learn(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     for epoch in range(epochs):
         rate = 0.005 * (1 - epoch / epochs) + 1e-4
         for part in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // 128)):
-            x = np.concatenate([bags[i] for i in part])
+            x = np.concatenate([bags[i] for i in part]).astype(np.float64)
             f = model.forward(x, np.array([len(bags[i]) for i in part]))
             step += 1
             for k, grad in model.gradients(f, labels[part]).items():
@@ -172,14 +194,11 @@ def learn(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     return model
 
 
+@tidied
 def _bags(batches):
-    numbers = WordNumbers()
     for batch in batches:
         raw = [(t or "").encode("utf-8") for t in batch.column(2).to_pylist()]
-        rows = []
-        for a, b in sub_batches(raw):
-            x, n = encode(raw[a:b], numbers)
-            rows += [part.astype(np.float32).tobytes() for part in np.split(x, np.cumsum(n)[:-1])]
+        rows = [part.astype(np.float32).tobytes() for x, n in encoded(raw) for part in np.split(x, np.cumsum(n)[:-1])]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "bag"])
 
 
@@ -194,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = chosen.select("_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, bag binary").toPandas().sort_values("doc_id")
     if rows.label.nunique() < 2:
         return None
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(np.float64) for b in rows.bag]
+    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in rows.bag]
     return learn(bags, (rows.label.to_numpy() > 0).astype(np.float64))
 
 
@@ -204,19 +223,23 @@ def with_scores(docs: DataFrame, model: Model | None, *, text_col: str = "text",
         return docs.withColumn(score_col, F.lit(0.5))
     ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    numbers: list[WordNumbers] = []
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        if not numbers:
-            numbers.append(WordNumbers())
-        raw = [(t or "").encode("utf-8") for t in texts]
-        out = [sent.value.score(*encode(raw[a:b], numbers[0])) for a, b in sub_batches(raw)]
-        return pd.Series(np.concatenate(out) if out else [], dtype=float)
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            out = [sent.value.score(*x) for x in encoded([(t or "").encode("utf-8") for t in texts])]
+            yield pd.Series(np.concatenate(out) if out else [], dtype=float)
+        give_back()
 
     return docs.withColumn(score_col, scored(text_or_empty(text_col)))
 
 
+def accepted(docs: DataFrame, model: Model | None, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, whose texts score at least so much."""
+    name = clear_name(docs, "_score")
+    return with_scores(docs, model, text_col=text_col, score_col=name).where(F.col(name) >= least).drop(name)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", threshold: float = 0.3, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     model = train(docs, labels, id_col=id_col, **options)

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import forget, written
-from .common import ready
+from .common import ready, tidied
 
 ROUNDS = 60
 
 
+@tidied
 def forest(batches):
     """Edges of each batch as stars around the least node."""
     for batch in batches:

@@ -9,8 +9,9 @@ scans every document. Shards are independent, so nothing is shuffled and a lost
 are simply built again.
 
 Defined results: a null text is empty; spans are code points, end exclusive, per kind leftmost and
-non-overlapping; repeated rows each get their own row; empty tables give no rows; other columns are
-ignored; texts are always scanned whole.
+non-overlapping; of spans that start together the kind listed first comes first; repeated rows each get their own row;
+empty tables give no rows; other columns are ignored; texts are always scanned whole, very long ones in a shard of their own
+(which takes about 15 bytes of memory for each of text).
 """
 
 from __future__ import annotations
@@ -231,9 +232,12 @@ def scan_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = (*BASE, *EXTRA),
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]", **options) -> DataFrame:
-    """docs with every secret span replaced by mark; overlapping spans become one. A null text stays null."""
+    """docs with every secret span replaced by mark; overlapping spans become one.
+
+    A null text stays null, an empty one empty; repeated rows are each redacted, in the same way; an empty table gives
+    no rows; other columns, whatever their names, stay as they are.
+    """
     ready(docs.sparkSession)
-    columns = docs.columns
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
@@ -253,8 +257,11 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]", *
             out.append("".join([*parts, mark, text[end:]]))
         return pd.Series(out, dtype=object)
 
-    scanned = scan_secrets(docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text")), **options)
-    return scanned.select("row.*", F.when(F.size("secrets") > 0, cleaned("text", "secrets")).otherwise(F.col("text")).alias("cleaned")).withColumn(text_col, F.col("cleaned")).select(*columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    scanned = scan_secrets(docs.select(F.struct(*own).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")), **options)
+    clean = F.when(F.size("secrets") > 0, cleaned("text", "secrets")).otherwise(F.col("text"))
+    held = scanned.select("row", clean.alias("clean"))
+    return held.select(*(F.col("clean" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
