@@ -2,9 +2,9 @@
 
 Lines are normalised (letters to lower case, white space runs to one blank, ends trimmed) and
 hashed. For each host the distinct documents of each line are counted; documents with
-equal texts on a host are one document. A line is above the limit if it is in at least
-``least_docs`` and in more than ``most_share`` of the host's distinct documents. Such lines are
-removed, and a document is depleted if less than ``least_left`` of its words remain.
+equal texts on a host are one document. A line is above the limit if at least ``least_docs`` distinct
+documents of a host hold it, whatever the host's size. Such lines are removed, and a document is depleted if less than
+``least_left`` of its words remain; without_frequent_lines() gives the texts that remain.
 
 Shuffles carry hashes only, never texts. Distinct (host, line, document) rows are dealt out by all
 three, and the counts are partly summed before their shuffle, so a host or line that a third of all
@@ -12,7 +12,8 @@ rows hold is one row a task.
 
 Defined results: a null text has no words and fails; lines without a word don't count; a null host
 is a host of its own; repeated rows get equal verdicts; empty tables give no rows; extra columns are
-ignored unless named as host.
+ignored unless named as host. There are no ties: a line with exactly ``least_docs`` documents is removed. A very long text
+is one row, in a few copies as arrays of its words and lines.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
+#: Distinct documents of a host from which on a line is boilerplate.
+LEAST_DOCS = 8
 
 
 def words_of(text: Column) -> Column:
@@ -44,9 +47,10 @@ def base_rules(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     Repeated windows: hashes of five words are sorted with their places only in documents
     that hold an equal pair; the words covered are the sum of min(5, step to the next place).
     """
-    text = text_or_empty(text_col)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_or_empty(text_col).alias("_text"))
+    text = F.col("_text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    out = docs.withColumn("_lines", lines).withColumn("_hashes", F.transform(words_of(text), lambda w: F.xxhash64(w)))
+    out = own.withColumn("_lines", lines).withColumn("_hashes", F.transform(words_of(text), lambda w: F.xxhash64(w)))
     n = F.size("_hashes")
     at = lambda i: F.get(F.col("_hashes"), i)
     windows = F.when(n >= 5, F.transform(F.slice("_hashes", 1, F.greatest(n - 4, F.lit(1))), lambda x, i: F.xxhash64(x, at(i + 1), at(i + 2), at(i + 3), at(i + 4)))).otherwise(F.array().cast("array<bigint>"))
@@ -61,7 +65,7 @@ def base_rules(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     covered = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
     bare = _stripped(text, SPACES)
     return out.select(
-        *[F.col(c) for c in docs.columns],
+        "_row.*",
         n.cast("long").alias("n_words"),
         F.length(bare).cast("long").alias("word_chars"),
         (F.length(bare) - F.length(_stripped(bare, SYMBOLS))).cast("long").alias("n_symbols"),
@@ -70,28 +74,56 @@ def base_rules(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     )
 
 
-def depleted_documents(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", least_docs: int = 20, most_share: float = 0.1) -> DataFrame:
+def depleted_documents(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
     """(host, text hash, text size, gone) of every document that holds lines above the limits: the
     number of words of such lines."""
+    copies, rows = _rows(docs, host_col, text_col)
+    found = rows.alias("r").join(_frequent(rows, least_docs).alias("f"), F.expr("r.host <=> f.host and r.hash = f.hash"))
+    gone = found.groupBy("r.host", "doc", "size").agg(F.sum("words").alias("words"))
+    return gone.alias("g").join(copies.alias("c"), F.expr("g.host <=> c.host and g.doc = c.doc and g.size = c.size")).select("g.host", "g.doc", "g.size", (F.col("words") / F.col("copies")).alias("gone"))
+
+
+def _normal(line: Column) -> tuple[Column, Column]:
+    """The hash of a line's words in lower case, and their number."""
+    words = words_of(line)
+    return F.xxhash64(F.lower(F.array_join(words, " "))), F.size(words)
+
+
+def _rows(docs: DataFrame, host_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The copies of each distinct document of a host, and the words that its lines have (those of copies summed), by hash."""
     text = text_or_empty(text_col)
     key = [F.col(host_col).alias("host"), F.xxhash64(text).alias("doc"), F.octet_length(text).alias("size")]
     copies = docs.select(*key).groupBy("host", "doc", "size").agg(F.count("*").alias("copies"))
-    hosts = copies.groupBy("host").agg(F.count("*").alias("host_docs"))
-    lines = docs.select(*key, F.explode(F.split(text, "\n")).alias("line"))
-    lines = lines.withColumn("words", words_of(F.col("line"))).where(F.size("words") > 0).withColumn("line", F.lower(F.array_join("words", " ")))
-    # the lines of a document's copies are summed together
-    rows = lines.groupBy("host", "doc", "size", F.xxhash64("line").alias("hash")).agg(F.sum(F.size("words")).alias("words"))
-    counts = rows.groupBy("host", "hash").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") >= least_docs)
-    frequent = counts.alias("c").join(hosts.alias("h"), F.expr("c.host <=> h.host")).where(F.col("in_docs") > most_share * F.col("host_docs")).select("c.host", "hash")
-    found = rows.alias("r").join(frequent.alias("f"), F.expr("r.host <=> f.host and r.hash = f.hash"))
-    gone = found.groupBy("r.host", "doc", "size").agg(F.sum("words").alias("words"))
-    return gone.alias("g").join(copies.alias("c"), F.expr("g.host <=> c.host and g.doc = c.doc and g.size = c.size")).select("g.host", "g.doc", "g.size", (F.col("words") / F.col("copies")).alias("gone"))
+    hashed, words = _normal(F.col("line"))
+    lines = docs.select(*key, F.explode(F.split(text, "\n")).alias("line")).select("host", "doc", "size", hashed.alias("hash"), words.alias("words"))
+    return copies, lines.where("words > 0").groupBy("host", "doc", "size", "hash").agg(F.sum("words").alias("words"))
+
+
+def _frequent(rows: DataFrame, least_docs: int) -> DataFrame:
+    return rows.groupBy("host", "hash").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") >= least_docs).select("host", "hash")
+
+
+def without_frequent_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
+    """docs with their texts without the lines above the limit. A null text stays null; texts without such lines stay as they
+    are; other columns, whatever their names, too.
+
+    Only (host, document, line number) of frequent lines are joined back, by the documents' hashes.
+    """
+    text = text_or_empty(text_col)
+    key = [F.col(host_col).alias("host"), F.xxhash64(text).alias("doc"), F.octet_length(text).alias("size")]
+    _, rows = _rows(docs, host_col, text_col)
+    found = rows.alias("r").join(_frequent(rows, least_docs).alias("f"), F.expr("r.host <=> f.host and r.hash = f.hash")).groupBy("r.host", "doc", "size").agg(F.collect_list("r.hash").alias("hashes"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), *key)
+    held = held.alias("d").join(found.alias("g"), F.expr("d.host <=> g.host and d.doc = g.doc and d.size = g.size"), "left")
+    left = F.filter(F.split("text", "\n"), lambda x: (_normal(x)[1] == 0) | ~F.array_contains("hashes", _normal(x)[0]))
+    clean = F.when(F.col("hashes").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    held = held.select("row", clean.alias("clean"))
+    return held.select(*(F.col("clean" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", least_left: float = 0.25, **limits) -> DataFrame:
     """The base counts, base_failed, and kept: neither base_failed nor depleted."""
     gone = depleted_documents(docs, host_col=host_col, text_col=text_col, **limits)
-    text = text_or_empty(text_col)
     base = base_rules(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text")))
     base = base.select("doc_id", "host", F.xxhash64(text_or_empty("text")).alias("doc"), F.octet_length(text_or_empty("text")).alias("size"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
