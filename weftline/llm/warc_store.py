@@ -13,20 +13,22 @@ and ``import_warc`` parses such files by Content-Length.
 A payload is identified by SHA-256 and length; the SHA-1 that WARC asks for is verified on reading.
 
 Defined results: a null payload counts as empty; a null or odd URL is percent-encoded where
-it holds control characters, and left out if null; a null id gives a record whose id reads
+it holds CR or LF, and left out if null; a null id gives a record whose id reads
 back as null, and it is the response only if no other row has its payload; repeated rows with
-the largest id are all responses; an empty table gives an empty archive; extra columns are ignored.
+the largest id are all responses, and records of repeated ids have the same WARC-Record-ID; an empty table gives an empty
+archive; extra columns are ignored. A very long payload is one value of at most 2 GB in each step; import_warc() holds one
+file at a time.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, ready
+from ..storage import drop_table, fresh_table
+from .common import ready
 
 #: Fixed values of the WARC 1.1 standard.
 VERSION = "WARC/1.1"
@@ -52,10 +54,17 @@ def _safe_uri(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class Archive:
-    """Names of the two bucketed tables."""
+    """Names of the two bucketed tables, and where they lie. They go when the driver ends, or by drop_archive()."""
 
     payloads: str
     headers: str
+    payloads_at: str
+    headers_at: str
+
+
+def drop_archive(spark: SparkSession, archive: Archive) -> None:
+    drop_table(spark, archive.payloads, archive.payloads_at)
+    drop_table(spark, archive.headers, archive.headers_at)
 
 
 def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0, buckets: int | None = None) -> Archive:
@@ -71,17 +80,17 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     rows = pages.select(F.col(id_col).cast("long").alias("rid"), F.col(url_col).cast("string").alias("uri"), raw.alias("payload"))
     rows = rows.withColumn("address", F.unhex(F.sha2("payload", 256))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
 
-    tag = uuid.uuid4().hex
-    names = Archive(f"weft_payloads_{tag}", f"weft_headers_{tag}")
+    (payloads, payloads_at), (headers, headers_at) = fresh_table(spark, "payloads"), fresh_table(spark, "headers")
+    names = Archive(payloads, headers, payloads_at, headers_at)
 
-    def store(df: DataFrame, name: str) -> None:
-        (df.write.format("parquet").bucketBy(n, "address").sortBy("address").option("compression", "zstd").option("path", fresh_path(spark, name)).saveAsTable(name))
+    def store(df: DataFrame, name: str, path: str) -> None:
+        df.write.format("parquet").bucketBy(n, "address").sortBy("address").option("compression", "zstd").option("path", path).saveAsTable(name)
 
     # the aggregate's own shuffle deals out by address as the buckets do
     once = rows.groupBy("address").agg(F.first("payload").alias("payload"), F.first("n_bytes").alias("n_bytes"), F.max("rid").alias("top"))
-    store(once.withColumn("sha1", base32_of_sha1(F.col("payload"))), names.payloads)
+    store(once.withColumn("sha1", base32_of_sha1(F.col("payload"))), payloads, payloads_at)
 
-    tops = spark.table(names.payloads).select("address", "sha1", "top")
+    tops = spark.table(payloads).select("address", "sha1", "top")
     head = rows.select("rid", "uri", "address", "n_bytes").join(tops, "address")
     response = (F.col("n_bytes") < min_bytes) | F.col("rid").eqNullSafe(F.col("top"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
@@ -98,7 +107,7 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         _line("Content-Length", F.when(response, F.col("n_bytes")).otherwise(F.lit(0)).cast("string")),
         F.lit("\r\n"),
     )
-    store(head.select("address", block.cast("binary").alias("header")).repartition(n, "address"), names.headers)
+    store(head.select("address", block.cast("binary").alias("header")).repartition(n, "address"), headers, headers_at)
     return names
 
 
@@ -163,9 +172,9 @@ def import_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """The digest of an archive's records, read back after writing."""
+    """Of each record of an archive, read back after writing: its digest columns, and size and SHA-256 of its rebuilt bytes."""
     back = read_archive(pages.sparkSession, write_archive(pages))
     return back.select(
         F.col("rid").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
-        F.col("kind").alias("record_type"), "refers_to", F.octet_length("record").cast("long").alias("record_bytes"),
+        F.col("kind").alias("record_type"), "refers_to", F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"),
     )
