@@ -7,11 +7,16 @@ least per token when it is filled greedily from the lengths that are left, all p
 compared; at the end every bin becomes the smallest permitted size that holds its contents. The plan is
 a short table of intervals; pieces find their places by their rank among pieces of their length.
 
-Ranks come from counts by (length, hash bucket), so a length that a third of all pieces have is spread
-over all buckets. Documents longer than the largest capacity are cut into pieces of that size and a rest.
-
-Defined results: a null text has no words and so the length 1 (its end mark); null ids and repeated
-rows are packed like any other row; an empty table gives no rows; extra columns are ignored.
+Pieces of a length come in the order of the table's rows (file by file; rows that come from no file in hashed order of
+their ids), and bins are numbered by their first piece in that order, so a mixture that the rows' order states holds in
+the sequences too. Ranks come from counts by (length, bucket), a bucket being a file or a hash, so a length that a third of
+all pieces have is spread over all buckets. Documents longer than the largest capacity are cut into pieces of that size and
+a rest. Texts are read once: their lengths are written as slim rows.
+
+Defined results: a null text has no words and so the length 1 (its end mark); a document whose given length is null or
+below 1 takes no room: it gets one row of length 0 without a bin; null ids, ties of length and repeated
+rows are packed like any other row; very long texts become as many pieces as they need; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered
+from ..storage import written
 from .common import SPACES, ready, text_or_empty
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -137,24 +145,37 @@ def word_length(text_col: str = "text") -> Column:
     return F.size(F.filter(F.split(text, " "), lambda w: w != "")) + 1
 
 
+def _order(docs: DataFrame, key: Column, buckets: int) -> tuple[Column, Column]:
+    """The file and the row of each row of a table that is read from files, else a bucket and the hash of the key."""
+    if "_metadata" not in docs.columns:
+        try:
+            at = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+            docs.select(*at).schema
+            return at
+        except AnalysisException:
+            pass  # rows of no file, or of a file without numbered rows
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string"), F.xxhash64(key, F.lit(1))
+
+
 def pack(docs: DataFrame, length: Column | None = None, *, id_col: str = "doc_id", capacities: Sequence[int] = CAPACITIES, costs: Mapping[int, float] | None = None) -> DataFrame:
-    """doc_id, piece, start, length, bin_id, bin_offset, bin_capacity, bin_fill of every piece."""
+    """doc_id, piece, start, length, bin_id, bin_offset, bin_capacity, bin_fill of every piece, and sequence: the bin's
+    number, from 1, in the order of the bins' first pieces. length: of each document, else its words and an end mark."""
     spark = docs.sparkSession
     ready(spark)
     capacities = sorted(capacities)
     most = capacities[-1]
-    whole = docs.select(F.col(id_col).alias("doc_id"), (length if length is not None else word_length()).cast("long").alias("whole"))
+    file, row = _order(docs, F.col(id_col), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.coalesce((length if length is not None else word_length()).cast("long"), F.lit(0)).alias("whole"), file.alias("bucket"), row.alias("row"))
+    whole = written(whole, "lengths")
     pieces = whole.where("whole > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(whole - 1) div {most}"))))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("whole") - F.col("piece") * most).cast("int").alias("length"))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    pieces = pieces.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("whole") - F.col("piece") * most).cast("int").alias("length"), "bucket", "row")
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `most` rows
     made = plan(histogram, capacities, costs)
     sent = spark.sparkContext.broadcast((made.placed, made.bins))
     before = counts.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    ranked = pieces.withColumn("r", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(before, ["length", "bucket"]).select("doc_id", "piece", "start", "length", (F.col("before") + F.col("r")).alias("rank"))
+    ranked = pieces.withColumn("r", F.row_number().over(W.partitionBy("length", "bucket").orderBy("row", "doc_id", "piece")) - 1)
+    ranked = ranked.join(before, ["length", "bucket"]).select("doc_id", "piece", "start", "length", (F.col("before") + F.col("r")).alias("rank"), "bucket", "row")
 
     @F.pandas_udf("bin_id long, bin_offset long, bin_capacity int, bin_fill int")
     def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
@@ -171,4 +192,9 @@ def pack(docs: DataFrame, length: Column | None = None, *, id_col: str = "doc_id
         end = np.searchsorted(bins[:, 0], bin_id, side="right") - 1
         return pd.DataFrame({"bin_id": bin_id, "bin_offset": offset, "bin_capacity": bins[end, 2], "bin_fill": bins[end, 3]})
 
-    return ranked.withColumn("p", place("length", "rank")).select("doc_id", "piece", "start", "length", "p.*")
+    placed = written(ranked.withColumn("p", place("length", "rank")).select("doc_id", "piece", "start", "length", "p.*", "bucket", "row"), "placed")
+    first = placed.groupBy("bin_id").agg(F.min(F.struct("bucket", "row")).alias("at")).select("bin_id", "at.*")
+    sequences = numbered(first, F.col("bucket"), [F.col("row"), F.col("bin_id")], "sequence").select("bin_id", "sequence")
+    out = placed.drop("bucket", "row").join(sequences, "bin_id").select("doc_id", "piece", "start", "length", "bin_id", "bin_offset", "bin_capacity", "bin_fill", "sequence")
+    zero, none = F.lit(0), lambda kind: F.lit(None).cast(kind)
+    return out.union(whole.where("whole <= 0").select("doc_id", zero.cast("long"), zero.cast("long"), zero, none("long"), none("long"), none("int"), none("int"), none("long")))

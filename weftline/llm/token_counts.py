@@ -6,17 +6,18 @@ only the rest is merged (with a bounded memory of counts seen before). Strings o
 inside a text count as one token each, as the library's default has it.
 
 Defined results: a null text is empty (0 bytes, 0 tokens); texts of any length are split at
-places where a pre-token always ends, so memory stays bounded; repeated rows each get their own
-row; an empty table gives no rows; other columns are ignored.
+places where a pre-token always ends (a text, however long, without white space is one piece, whose memory grows with
+it); counts don't depend on ties of merges, as ranks are distinct; repeated rows each get their own row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ready, text_or_empty
@@ -24,7 +25,7 @@ from .common import ready, text_or_empty
 #: Fixed value: the pattern of byte-level pre-tokens, as public_tokenizers documents it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -184,11 +185,11 @@ class Counter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs."""
-    ready(docs.sparkSession)
+def token_length(spark: SparkSession, tokenizer_path: str) -> Callable[[Column], Column]:
+    """A function of a text column that gives its number of tokens; null counts as empty."""
+    ready(spark)
     model = load_model(tokenizer_path)
-    sent = docs.sparkSession.sparkContext.broadcast((model, prove_whole(model)))  # bounded by the vocabulary
+    sent = spark.sparkContext.broadcast((model, prove_whole(model)))  # bounded by the vocabulary
     kept: list[Counter] = []
 
     @F.pandas_udf("long")
@@ -197,6 +198,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
             kept.append(Counter(*sent.value))
         return texts.map(kept[0].count)
 
+    return lambda text: n_tokens(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
+    """id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs."""
+    n_tokens = token_length(docs.sparkSession, tokenizer_path)
     text = text_or_empty(text_col)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text).alias("n_tokens"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(F.col(text_col)).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
