@@ -39,14 +39,14 @@ def test_commands(spark, small, tmp_path):
     run = lambda *args: cli.main([str(x) for x in args], spark)
     at = lambda x: f"{tmp_path}/{x}"
     for g, name in ((0, "a"), (1, "b")):
-        cooler.write_map(A.bins(spark), A.pixels(spark, small, g), at(f"{name}.map"), "asm")
+        cooler.write_map(A.bins(spark, 200), A.pixels(spark, small, g, 200), at(f"{name}.map"), "asm")
         run("prepare", "--cool", at(f"{name}.map"), "--out-prefix", at(name), "--inter")
     for order, name in ((A.ORDER_A, "a"), (A.ORDER_B, "b")):
         put(tmp_path / f"{name}.fai", [f"{c}\t2000000" for c in order])
     rows = lines(at("a.contacts.tsv"))
     assert rows[0].split("\t") == text.CONTACT_COLUMNS and {len(r.split("\t")) for r in rows} == {14}
     assert {len(r.split("\t")) for r in lines(at("a.stats.tsv"))} == {105}
-    put(tmp_path / "x.link", ["\t".join(map(str, tuple(r)[1:])) for r in A.links(spark, small).orderBy("line").collect()])
+    put(tmp_path / "x.link", ["\t".join(map(str, tuple(r)[1:])) for r in A.links(spark, small, 200).orderBy("line").collect()])
     run("link2mark", "--link", at("x.link"), "-p", at("x"), "--thr-len", 5000, "--step-len", 2500)
     assert len(lines(at("x.mark"))) > 4000
     run("liftcontacts", "--contact-a", at("a.contacts.tsv"), "--contact-b", at("b.contacts.tsv"), "--fadix-a", at("a.fai"), "--fadix-b", at("b.fai"), "--mark", at("x.mark"), "--agg-frame", 80000, "--out-prefix", at("x"))

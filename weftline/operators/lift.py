@@ -11,15 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even, share100
+from ..storage import written
 
 CRITERIA = ("length", "coverage", "deviation", "none", "default")
 MODELS = ("balanced", "raw")
 
 
-def checked_chroms(contacts: DataFrame, fai: DataFrame) -> None:
-    """Fails if a contact names a chromosome that the index doesn't have."""
-    used = contacts.select(F.explode(F.array("chrom1", "chrom2")).alias("chrom")).distinct()
-    missing = used.join(F.broadcast(fai), "chrom", "left_anti").limit(5).collect()
+def checked_chroms(bins: DataFrame, fai: DataFrame) -> None:
+    """Fails if a bin lies on a chromosome that the index doesn't have."""
+    missing = bins.select("chrom").distinct().join(F.broadcast(fai), "chrom", "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"chromosomes without an index entry: {[r.chrom for r in missing]}")
 
@@ -69,14 +69,15 @@ def located(points: DataFrame, bins: DataFrame, resolution: int, chrom: str, mid
     return points.join(side, (F.col(chrom) == F.col("_c")) & (start == F.col("_s")) & (F.col(mid) < F.col("_e"))).drop("_c", "_s", "_e")
 
 
-def remap_pairs(mark: DataFrame, bins_a: DataFrame, bins_b: DataFrame, fai_a: DataFrame, fai_b: DataFrame) -> DataFrame:
-    """na, ba, nb, bb, first_line: distinct pairs of bins of the mark rows' midpoints. mark: with a sortable line."""
+def remap_pairs(mark: DataFrame, bins_a: DataFrame, bins_b: DataFrame, fai_a: DataFrame, fai_b: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+    """na, ba, nb, bb, first_line: distinct pairs of bins of the mark rows' midpoints. mark: with a sortable line; sizes: of
+    the bins."""
     index = lambda fai, k: F.broadcast(fai.select(F.col("chrom").alias(f"chrom_{k}"), F.col("ord").alias(f"n{k}")))
     rows = mark.join(index(fai_a, "a"), "chrom_a").join(index(fai_b, "b"), "chrom_b")
     mid = lambda k: F.floor((F.col(f"start_{k}") + F.col(f"end_{k}")) / 2)
     rows = rows.withColumn("mid_a", mid("a")).withColumn("mid_b", mid("b"))
-    rows = located(rows, bins_a, resolution_of(bins_a), "chrom_a", "mid_a", "ba")
-    rows = located(rows, bins_b, resolution_of(bins_b), "chrom_b", "mid_b", "bb")
+    rows = located(rows, bins_a, sizes[0], "chrom_a", "mid_a", "ba")
+    rows = located(rows, bins_b, sizes[1], "chrom_b", "mid_b", "bb")
     return rows.groupBy("na", "ba", "nb", "bb").agg(F.min("line").alias("first_line"))
 
 
@@ -164,48 +165,55 @@ def lift_rows(best: DataFrame, bins_a: DataFrame) -> DataFrame:
     )
 
 
-def lift_stat(a: DataFrame, groups: DataFrame, pairs: DataFrame, cands: DataFrame) -> DataFrame:
-    """name, contacts, bins: the six counters, each from grouped rows.
+def met_contacts(pairs: DataFrame) -> DataFrame:
+    """Of each remappable contact: whether some pair of bins was hit, whether some was missed, and its candidates."""
+    hit = F.coalesce("hit", F.lit(False))
+    by_group = pairs.groupBy(*KEY, "j1", "j2").agg(F.max(hit).alias("hit"), F.max(~hit).alias("missed"), (F.sum(F.when(hit, F.col("base"))) > 0).alias("weighs"))
+    return by_group.groupBy(*KEY).agg(F.max("hit").alias("hit"), F.max("missed").alias("missed"), F.count_if("weighs").alias("c"))
+
+
+def lift_stat(a: DataFrame, groups: DataFrame, met: DataFrame) -> DataFrame:
+    """name, contacts, bins: the six counters, from one pass over contacts and one over their ends. met: see met_contacts().
 
     Bins: unique and duplicated count the bins of remappable contacts with one group or more, without those whose pairs
     were all missed.
     """
-    ends = lambda df: df.select(F.explode(F.array(F.struct(F.col("n1").alias("n"), F.col("b1").alias("b")), F.struct(F.col("n2").alias("n"), F.col("b2").alias("b")))).alias("e")).select("e.*").distinct()
+    rows = a.select(*KEY).join(met.withColumn("able", F.lit(True)), list(KEY), "left")
+    end = lambda k: F.struct(F.col(f"n{k}").alias("n"), F.col(f"b{k}").alias("b"))
+    is_set = lambda c: F.max(F.coalesce(c, F.lit(False))).alias(c)
+    ends = rows.select(F.explode(F.array(end(1), end(2))).alias("e"), "able", "hit", "missed").groupBy("e.n", "e.b").agg(is_set("able"), is_set("hit"), is_set("missed"))
     mapped = groups.groupBy(F.col("na").alias("n"), F.col("ba").alias("b")).agg((F.max("j") + 1).alias("groups"))
-    one = lambda k: mapped.select(F.col("n").alias(f"n{k}"), F.col("b").alias(f"b{k}"))
-    remappable = a.select(*KEY).join(one(1), ["n1", "b1"], "left_semi").join(one(2), ["n2", "b2"], "left_semi")
-    hit, missed = pairs.where("hit"), pairs.where("hit is null")
-    lost = ends(missed).join(ends(hit), ["n", "b"], "left_anti")
-    used = ends(remappable).join(mapped, ["n", "b"])
-    kept = used.join(lost, ["n", "b"], "left_anti")
-    per = cands.groupBy(*KEY).agg(F.count("*").alias("c"))
-    count = lambda df, name, kind: df.agg(F.count("*").alias("v")).select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "v")
-    rows = [
-        count(a, "all", "contacts"), count(ends(a), "all", "bins"),
-        count(remappable, "remappable", "contacts"), count(used, "remappable", "bins"),
-        count(hit.select(*KEY).distinct(), "processed", "contacts"), count(ends(hit), "processed", "bins"),
-        count(per.where("c = 1"), "unique", "contacts"), count(kept.where("groups = 1"), "unique", "bins"),
-        count(per.where("c > 1"), "duplicated", "contacts"), count(kept.where("groups > 1"), "duplicated", "bins"),
-        per.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("v")).select(F.lit("dropped").alias("name"), F.lit("contacts").alias("kind"), "v"), count(lost, "dropped", "bins"),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out.groupBy("name").agg(F.max(F.when(F.col("kind") == "contacts", F.col("v"))).alias("contacts"), F.max(F.when(F.col("kind") == "bins", F.col("v"))).alias("bins"))
+    lost = F.col("missed") & ~F.col("hit")
+    names = ("all", "remappable", "processed", "unique", "duplicated", "dropped")
+    c = F.coalesce("c", F.lit(0))
+    contacts = rows.agg(F.array(F.count("*"), F.count_if("able"), F.count_if("hit"), F.count_if(c == 1), F.count_if(c > 1), F.coalesce(F.sum(F.greatest(c - 1, F.lit(0))), F.lit(0))).alias("contacts"))
+    bins = ends.join(mapped, ["n", "b"], "left").agg(F.array(F.count("*"), F.count_if("able"), F.count_if("hit"), F.count_if(F.col("able") & ~lost & (F.col("groups") == 1)), F.count_if(F.col("able") & ~lost & (F.col("groups") > 1)), F.count_if(lost)).alias("bins"))
+    both = contacts.crossJoin(bins)  # a row each
+    return both.select(F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), "contacts", "bins")).alias("z")).select("z.*")
 
 
 class Lift:
-    """All steps of a lift; each attribute is a DataFrame that can be used on its own."""
+    """All steps of a lift; each is a DataFrame that can be used on its own. The observed bins and the groups are written
+    once, the pairs' summary when the counters are asked for."""
 
     def __init__(self, contacts_a: DataFrame, contacts_b: DataFrame, fai_a: DataFrame, fai_b: DataFrame, mark: DataFrame, *, agg_frame: int = 150_000, model: str = "raw"):
-        checked_chroms(contacts_a, fai_a)
-        checked_chroms(contacts_b, fai_b)
-        self.bins_a, self.bins_b = observed_bins(contacts_a), observed_bins(contacts_b)
+        self.bins_a, self.bins_b = written(observed_bins(contacts_a), "bins-a"), written(observed_bins(contacts_b), "bins-b")
+        checked_chroms(self.bins_a, fai_a)
+        checked_chroms(self.bins_b, fai_b)
         self.a, self.b = canonical(contacts_a, fai_a), canonical(contacts_b, fai_b)
-        self.remap = remap_pairs(mark, self.bins_a, self.bins_b, fai_a, fai_b)
-        self.groups = remap_groups(self.remap, frame_bins(agg_frame, resolution_of(self.bins_b)))
+        sizes = resolution_of(self.bins_a), resolution_of(self.bins_b)
+        self.remap = remap_pairs(mark, self.bins_a, self.bins_b, fai_a, fai_b, sizes)
+        self.groups = written(remap_groups(self.remap, frame_bins(agg_frame, sizes[1])), "groups")
         self.pairs = lifted_pairs(self.a, self.b, self.groups)
-        self.candidates = candidates(self.pairs, self.bins_b, model)
+        self._candidates = candidates(self.pairs, self.bins_b, model)
+        self._written: DataFrame | None = None
+
+    @property
+    def candidates(self) -> DataFrame:
+        """Written when they are first asked for, as every result needs them."""
+        if self._written is None:
+            self._written = written(self._candidates, "candidates")
+        return self._written
 
     def rows(self, criterion: str = "default") -> DataFrame:
         return lift_rows(choose_best(self.candidates, criterion), self.bins_a)
@@ -215,4 +223,4 @@ class Lift:
         return self.candidates.join(choose_best(self.candidates, criterion).select(*KEY, "j1", "j2"), [*KEY, "j1", "j2"], "left_anti")
 
     def stat(self) -> DataFrame:
-        return lift_stat(self.a, self.groups, self.pairs, self.candidates)
+        return lift_stat(self.a, self.groups, written(met_contacts(self.pairs), "met"))

@@ -5,6 +5,7 @@ Deduplicated contacts have the columns chrom1, b1, chrom2, b2 (canonical by the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,8 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import hist_index, safe_log2
 from ..functions.ranks import numbered
+from ..storage import forget, written
 
-DEFAULT_RESOLUTION, LEAST_RESOLUTION = 40_000, 10_000
+DEFAULT_RESOLUTION, LEAST_RESOLUTION, LEAST_STEP = 40_000, 10_000, 1_000
+
+
+#: The keys by which controls are shuffled: what a lifted contact observes, whatever file it is in.
+LOCUS = ["chr1_observed", "pos1_observed", "chr2_observed", "pos2_observed"]
 
 
 def _indexed(rows: DataFrame, fai: DataFrame) -> DataFrame:
@@ -38,30 +44,32 @@ def short_rows(lift: DataFrame, fai: DataFrame, resolution: int) -> DataFrame:
     """obs, ctrl, lr, l of every row: lr is the distance in bins, -1000 between chromosomes."""
     rows = _indexed(lift, fai)
     lr = F.abs(F.floor(F.col("pos2_observed") / resolution) - F.floor(F.col("pos1_observed") / resolution))
-    return rows.select("line", F.col("observed_contacts").cast("double").alias("obs"), F.col("control_contacts").cast("double").alias("ctrl"), F.when(F.col("o1") == F.col("o2"), lr).otherwise(-1000).cast("long").alias("lr"), F.col("control_contact_distances").cast("double").alias("l"))
-
-
-def _gcd(values: Column) -> Column:
-    step = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(45)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.when(s["b"] == 0, F.lit(1)).otherwise(s["b"])).alias("b"))), lambda s: s["a"])
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: step(F.greatest(a, x), F.least(a, x)))
+    return rows.select(*LOCUS, F.col("observed_contacts").cast("double").alias("obs"), F.col("control_contacts").cast("double").alias("ctrl"), F.when(F.col("o1") == F.col("o2"), lr).otherwise(-1000).cast("long").alias("lr"), F.col("control_contact_distances").cast("double").alias("l"))
 
 
 def infer_resolution(lift: DataFrame) -> DataFrame:
     """resolution: the greatest common divisor of position steps and of two-bin label widths.
 
     Steps between consecutive positions of a chromosome have the divisor of the distances from its least position, so
-    the order of rows doesn't matter. Distinct values only are folded.
+    the order of rows doesn't matter. The divisor is found by rounds of Euclid's rule over all rows at once: the least
+    value, then the least remainder by it that is left, until none is; each round sends one number to the driver. Of
+    label widths that are equally frequent the least counts.
     """
     ends = lift.select(F.explode(F.array(*(F.struct(F.col(f"chr{k}_observed").alias("c"), F.col(f"pos{k}_observed").alias("p")) for k in (1, 2)))).alias("e")).select("e.*").distinct()
-    steps = ends.withColumn("v", F.col("p") - F.min("p").over(W.partitionBy("c"))).select("v")
+    least = ends.groupBy("c").agg(F.min("p").alias("p0"))
+    steps = ends.join(F.broadcast(least), "c").select((F.col("p") - F.col("p0")).alias("v"))  # a row for each chromosome
     label = lift.select(F.explode(F.array("remap1_control", "remap2_control")).alias("t")).where("instr(t, ':') > 0 and instr(t, '-') > 0")
     place = lambda i: F.get(F.split(F.get(F.split("t", "-"), F.lit(i)), ":"), F.lit(1)).try_cast("long")
-    widths = label.select(F.abs(place(1) - place(0)).alias("v")).where("v > 0").groupBy("v").agg(F.count("*").alias("c"))
-    values = steps.where("v > 0").union(widths.select("v")).distinct()
-    g = values.agg(_gcd(F.collect_list("v")).alias("g"), F.count("*").alias("n"))
-    common = widths.agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("w"))
-    chosen = F.when((F.col("g") < 1000) & F.col("w").isNotNull(), F.col("w")).otherwise(F.col("g"))
-    return g.crossJoin(common).select(F.when(F.col("n") == 0, F.lit(DEFAULT_RESOLUTION)).when(chosen < 1000, F.greatest(F.lit(LEAST_RESOLUTION), chosen)).otherwise(chosen).cast("long").alias("resolution"))  # a row each
+    widths = written(label.select(F.abs(place(1) - place(0)).alias("v")).where("v > 0").groupBy("v").agg(F.count("*").alias("c")), "widths")
+    values = written(steps.where("v > 0").union(widths.select("v")).distinct(), "steps")
+    g = values.agg(F.min("v")).first()[0]
+    while g and (rest := values.agg(F.min(F.when(F.col("v") % g != 0, F.col("v") % g))).first()[0]):
+        g = math.gcd(g, rest)
+    common = widths.agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("w")).first().w
+    forget(widths, values)
+    chosen = common if g and g < LEAST_STEP and common is not None else g
+    found = DEFAULT_RESOLUTION if g is None else max(LEAST_RESOLUTION, chosen) if chosen < LEAST_STEP else chosen
+    return lift.sparkSession.createDataFrame([(found,)], "resolution long")
 
 
 # ---- windowed metrics
@@ -150,7 +158,8 @@ def ordered_bedgraph(values: DataFrame, fai: DataFrame) -> DataFrame:
 
 def shuffled(rows: DataFrame, column: str, bucket: Column, order: list[str], seed: str) -> DataFrame:
     """rows with one column permuted: the k-th row in the order of the keys gets the value of the k-th row in the order
-    of md5(seed, keys). The permutation depends on the keys and the seed alone. bucket: coarse part of the key order."""
+    of md5(seed, keys). The permutation depends on the keys and the seed alone; rows with equal keys, which no lift makes, are
+    in any order. bucket: coarse part of the key order."""
     key = F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in order))
     drawn = rows.select(F.col(column).alias("_v"), F.md5(key.cast("binary")).alias("_h"))
     drawn = numbered(drawn, F.substring("_h", 1, 3), [F.col("_h")], "_i").select("_v", "_i")
@@ -184,16 +193,11 @@ def against_control(spark, observed: DataFrame, control: DataFrame, bins: int) -
 def percentile_map(lift: DataFrame, fai: DataFrame, resolution: int, *, min_bins: int = 0, max_bins: int = 20, bins: int = 100, seed: str = "1") -> DataFrame:
     """Control against observed percentiles of contacts in a band of distances."""
     rows = short_rows(lift, fai, resolution).where((F.col("lr") > min_bins) & (F.col("lr") <= max_bins))
-    drawn = shuffled(rows, "ctrl", _line_bucket(rows), ["line"], seed)
+    drawn = shuffled(rows, "ctrl", F.struct(*LOCUS[:2]), LOCUS, seed)
     one = lambda df, name: hist2d(df, F.col("ctrl"), F.col("obs"), (0, 100), (0, 100), bins, name)
     return against_control(lift.sparkSession, one(rows, "observed"), one(drawn, "control"), bins)
 
 
-def _line_bucket(rows: DataFrame) -> Column:
-    first = [f.name for f in rows.schema["line"].dataType.fields][:3]
-    return F.struct(*(F.col(f"line.{c}") for c in first)) if "n1" in first else F.struct("line.file_path", "line.file_block_start")
-
-
 def parse_token(token: Column) -> tuple[Column, Column]:
     """Chromosome and position of a remap label: that of one bin, or the middle of two on one chromosome."""
     part = F.split(token, "-")
@@ -210,7 +214,7 @@ def stat_rows(lift: DataFrame) -> DataFrame:
     (c1, p1), (c2, p2) = parse_token(F.col("remap1_control")), parse_token(F.col("remap2_control"))
     da = F.when(F.col("chr1_observed") == F.col("chr2_observed"), F.abs(F.col("pos2_observed") - F.col("pos1_observed")) / 1e6)
     db = F.when(c1 == c2, F.abs(p2 - p1) / 1e6).otherwise(F.col("control_contact_distances").cast("double"))
-    rows = lift.select("line", F.col("observed_contacts").cast("double").alias("obs"), F.col("control_contacts").cast("double").alias("ctrl"), da.alias("da"), db.alias("db"))
+    rows = lift.select(*LOCUS, F.col("observed_contacts").cast("double").alias("obs"), F.col("control_contacts").cast("double").alias("ctrl"), da.alias("da"), db.alias("db"))
     return rows.where("da >= 0 and db >= 0 and not isnan(db)")
 
 
@@ -221,7 +225,7 @@ def _clipped(rows: DataFrame, most: float) -> DataFrame:
 
 def distance_map(lift: DataFrame, *, max_dist_mb: float = 5.0, bins: int = 100, seed: str = "1") -> DataFrame:
     rows = _clipped(stat_rows(lift), max_dist_mb)
-    drawn = shuffled(rows, "db", _line_bucket(rows), ["line"], seed)
+    drawn = shuffled(rows, "db", F.struct(*LOCUS[:2]), LOCUS, seed)
     span = (0, max_dist_mb)
     one = lambda df, name: hist2d(df, F.col("db"), F.col("da"), span, span, bins, name)
     return against_control(lift.sparkSession, one(rows, "observed"), one(drawn, "control"), bins)
@@ -230,7 +234,7 @@ def distance_map(lift: DataFrame, *, max_dist_mb: float = 5.0, bins: int = 100,
 def ratio_map(lift: DataFrame, *, max_dist_mb: float = 5.0, xy_range: float = 12.0, bins: int = 100, seed: str = "1") -> DataFrame:
     eps = 1e-6
     rows = _clipped(stat_rows(lift), max_dist_mb)
-    drawn = shuffled(rows, "ctrl", _line_bucket(rows), ["line"], seed)
+    drawn = shuffled(rows, "ctrl", F.struct(*LOCUS[:2]), LOCUS, seed)
     span = (-xy_range, xy_range)
     ratio = lambda a, b: safe_log2(F.col(a) + eps, F.col(b) + eps)
     one = lambda df, name: hist2d(df, ratio("da", "db"), ratio("obs", "ctrl"), span, span, bins, name)

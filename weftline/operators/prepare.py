@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import percent, valid_weight
+from ..storage import written
 
 MAX_DISTANCE = 10_000_000
 #: Bins of a genome are broadcast up to this many rows; beyond it the joins shuffle.
@@ -53,32 +54,63 @@ def coverage(values: DataFrame) -> DataFrame:
     return ends.groupBy("bin_id").agg(F.sum("count").cast("float").alias("cov"))
 
 
-def value_ranks(values: DataFrame) -> DataFrame:
-    """dist_bins, val, rank, strict, weak: percentiles of each distinct value in its distance.
+def _cumulated(values: DataFrame) -> DataFrame:
+    """dist_bins, val, c, left, right, n: each distinct value's count, those before and up to it, and those of its distance.
 
-    Equal values are counted first, so the window runs over distinct values, not pixels.
+    Equal values are counted first. Distances are cut into ranges of values, a thousand to a doubling, and windows run
+    inside a range; only the ranges' counts, a row each, are summed over a distance. So a distance that holds most pixels
+    (that between chromosomes), each with a value of its own, is many tasks' work.
     """
-    counts = values.groupBy("dist_bins", "val").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy("dist_bins").orderBy("val")).alias("right")
-    ranked = counts.select("*", upto, F.sum("c").over(W.partitionBy("dist_bins")).alias("n")).withColumn("left", F.col("right") - F.col("c"))
+    part = F.when(F.col("val") > 0, F.floor(F.log2(F.col("val").cast("double")) * 1024)).otherwise(F.lit(-(1 << 40)).cast("long"))
+    counts = values.groupBy("dist_bins", "val").agg(F.count("*").alias("c")).withColumn("part", part)
+    parts = counts.groupBy("dist_bins", "part").agg(F.sum("c").alias("in_part"))
+    upto = F.sum("in_part").over(W.partitionBy("dist_bins").orderBy("part")) - F.col("in_part")
+    parts = parts.select("dist_bins", "part", upto.alias("before"), F.sum("in_part").over(W.partitionBy("dist_bins")).alias("n"))
+    inside = counts.withColumn("right", F.sum("c").over(W.partitionBy("dist_bins", "part").orderBy("val")))
+    rows = inside.join(parts, ["dist_bins", "part"]).withColumn("right", F.col("right") + F.col("before"))
+    return rows.select("dist_bins", "val", "c", (F.col("right") - F.col("c")).alias("left"), "right", "n")
+
+
+def value_ranks(values: DataFrame) -> DataFrame:
+    """dist_bins, val, rank, strict, weak: percentiles of each distinct value in its distance."""
     n = F.col("n")
-    return ranked.select("dist_bins", "val", percent((F.col("left") + F.col("right")) * 0.5 / n).alias("rank"), percent(F.col("left") / n).alias("strict"), percent(F.col("right") / n).alias("weak"))
+    return _cumulated(values).select("dist_bins", "val", percent((F.col("left") + F.col("right")) * 0.5 / n).alias("rank"), percent(F.col("left") / n).alias("strict"), percent(F.col("right") / n).alias("weak"))
 
 
 def contacts(bins: DataFrame, pixels: DataFrame, resolution: int, **options) -> DataFrame:
-    """The 14-column contacts of a map."""
+    """The 14-column contacts of a map. Ranks and coverages are written once, and broadcast where their counts allow;
+    where ranks are too many for that, no value is that of very many pixels."""
     values = pixel_values(bins, pixels, resolution, **options)
-    cov = _small(coverage(values))
-    rows = values.join(value_ranks(values), ["dist_bins", "val"])
+    cov = _small(written(coverage(values), "coverage"))
+    rows = values.join(_small(written(value_ranks(values), "ranks")), ["dist_bins", "val"])
     rows = rows.join(cov.select(F.col("bin_id").alias("bin1"), F.col("cov").alias("cov1")), "bin1").join(cov.select(F.col("bin_id").alias("bin2"), F.col("cov").alias("cov2")), "bin2")
     return rows.select("chrom1", "start1", "end1", "bin1", "chrom2", "start2", "end2", "bin2", "rank", "strict", "weak", "cov1", "cov2", "dist_bins")
 
 
+#: Quantiles of a distance: three of all values, then the medians of 100 equal slices.
+POINTS = (0.05, 0.5, 0.95, *((2 * i + 1) / 200 for i in range(100)))
+
+
 def distance_stats(values: DataFrame) -> DataFrame:
-    """dist_bins, n, p05, p50, p95, and the 100 medians of equal slices; equal values are counted first."""
-    counts = values.groupBy("dist_bins", F.col("val").cast("double").alias("val")).agg(F.count("*").alias("c"))
-    points = [0.05, 0.5, 0.95, *((2 * i + 1) / 200 for i in range(100))]
-    got = counts.groupBy("dist_bins").agg(F.sum("c").alias("n"), F.percentile("val", F.array(*map(F.lit, points)), F.col("c")).alias("q"))
+    """dist_bins, n, p05, p50, p95, and the 100 medians of equal slices.
+
+    A quantile lies between two neighbours in the order of values, which are looked up by their counts: each distinct value
+    names the few points whose neighbours it is, so no task holds a distance.
+    """
+    rows = _cumulated(values)
+    last = F.col("n") - 1
+    # slices whose median may lie at this value, one more on either side for rounding
+    first = F.greatest(F.lit(0), F.floor(F.col("left") / F.col("n") * 100 - 2).cast("int"))
+    upto = F.least(F.lit(99), F.ceil(F.col("right") / F.col("n") * 100 + 1).cast("int"))
+    place = lambda p: last * F.element_at(F.array(*map(F.lit, POINTS)), p + 1)
+    holds = lambda at: (at >= F.col("left")) & (at < F.col("right"))
+    near = lambda p: holds(F.floor(place(p))) | holds(F.ceil(place(p)))
+    points = F.filter(F.concat(F.array(F.lit(0), F.lit(1), F.lit(2)), F.transform(F.sequence(first, upto), lambda i: i + 3)), near)
+    found = rows.where(F.size(points) > 0).select("dist_bins", "n", "left", "right", F.col("val").cast("double").alias("val"), F.explode(points).alias("p"))
+    low, high = F.floor(place(F.col("p"))), F.ceil(place(F.col("p")))
+    ends = found.groupBy("dist_bins", "n", "p").agg(F.max(F.when(holds(low), F.col("val"))).alias("lo"), F.max(F.when(holds(high), F.col("val"))).alias("hi"))
+    between = F.when(low == high, F.col("lo")).otherwise((high - place(F.col("p"))) * F.col("lo") + (place(F.col("p")) - low) * F.col("hi"))
+    got = ends.select("dist_bins", "n", F.struct("p", between.alias("q")).alias("s")).groupBy("dist_bins", "n").agg(F.array_sort(F.collect_list("s"))["q"].alias("q"))  # 103 each
     return got.select("dist_bins", "n", F.get("q", F.lit(0)).alias("p05"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p95"), F.slice("q", 4, 100).alias("medians"))
 
 

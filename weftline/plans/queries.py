@@ -23,8 +23,9 @@ ORACLE: dict[str, str] = {}
 
 
 def comparison(spark: SparkSession, sf_dir: str, model: str = "raw") -> Comparison:
-    a, b = (Species(A.bins(spark), A.pixels(spark, sf_dir, g), A.fai(spark, order)) for g, order in ((0, A.ORDER_A), (1, A.ORDER_B)))
-    return Comparison(a, b, A.links(spark, sf_dir), RES, FAR, True, THR, STEP, AGG, model)
+    n = A.n_bins(spark, sf_dir)
+    a, b = (Species(A.bins(spark, n), A.pixels(spark, sf_dir, g, n), A.fai(spark, order, n)) for g, order in ((0, A.ORDER_A), (1, A.ORDER_B)))
+    return Comparison(a, b, A.links(spark, sf_dir, n), RES, FAR, True, THR, STEP, AGG, model)
 
 
 # ---- SQL: named parts, put together as needed
@@ -63,13 +64,14 @@ def query(name: str, sql: str | None):
 
 
 def _values(order: tuple[str, ...]) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(f'({c!r}, {i + 1}, 2000000)' for i, c in enumerate(order))}) t(chrom, ord, size)"
+    return f"SELECT chrom, ord, n // 4 * 40000 AS size FROM (VALUES {', '.join(f'({c!r}, {i + 1})' for i, c in enumerate(order))}) t(chrom, ord), p_n"
 
 
+part("p_n", f"SELECT greatest({A.LEAST_BINS}, count(*)) // 4 * 4 AS n FROM part")
 part("p_fai_a", _values(A.ORDER_A))
 part("p_fai_b", _values(A.ORDER_B))
-part("p_bins", "SELECT CAST(b AS INTEGER) AS bin_id, 'c' || CAST(b // 50 AS VARCHAR) AS chrom, b % 50 * 40000 AS start, b % 50 * 40000 + 40000 AS \"end\", CAST(CASE b % 7 WHEN 0 THEN 0.5 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 0.25 ELSE 1 END AS FLOAT) AS weight FROM range(200) t(b)")
-part("p_pixels", "SELECT CAST(l_linenumber % 2 AS INTEGER) AS g, CAST(least(u, v) AS INTEGER) AS bin1, CAST(greatest(u, v) AS INTEGER) AS bin2, CAST(sum(l_quantity) AS FLOAT) AS count FROM (SELECT *, (l_partkey * 7 + l_suppkey) % 200 AS u, (l_partkey * 7 + l_suppkey + l_orderkey * l_linenumber % 23) % 200 AS v FROM lineitem) GROUP BY ALL")
+part("p_bins", "SELECT CAST(b AS INTEGER) AS bin_id, 'c' || CAST(b // per AS VARCHAR) AS chrom, b % per * 40000 AS start, b % per * 40000 + 40000 AS \"end\", CAST(CASE b % 7 WHEN 0 THEN 0.5 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 0.25 ELSE 1 END AS FLOAT) AS weight FROM (SELECT unnest(range(n)) AS b, n // 4 AS per FROM p_n)")
+part("p_pixels", "SELECT CAST(l_linenumber % 2 AS INTEGER) AS g, CAST(least(u, v) AS INTEGER) AS bin1, CAST(greatest(u, v) AS INTEGER) AS bin2, CAST(sum(l_quantity) AS FLOAT) AS count FROM (SELECT *, (l_partkey * 7 + l_suppkey) % n AS u, (l_partkey * 7 + l_suppkey + l_orderkey * l_linenumber % 23) % n AS v FROM lineitem, p_n) GROUP BY ALL")
 part("p_joined", """SELECT p.*, x.chrom AS chrom1, x.start AS start1, x."end" AS end1, y.chrom AS chrom2, y.start AS start2, y."end" AS end2,
   CAST(CAST(p.count AS DOUBLE) / CAST(x.weight * y.weight AS DOUBLE) AS FLOAT) AS val, CAST(CASE WHEN x.chrom = y.chrom THEN (y.start - x.start) // 40000 ELSE -1 END AS INTEGER) AS dist_bins
   FROM p_pixels p JOIN p_bins x ON p.bin1 = x.bin_id JOIN p_bins y ON p.bin2 = y.bin_id""")
@@ -95,13 +97,22 @@ part("p_contacts", """SELECT v.g, chrom1, start1, end1, bin1, chrom2, start2, en
 CONTACTS = "chrom1, start1, end1, bin1, chrom2, start2, end2, bin2, rank, strict, weak, cov1, cov2, dist_bins"
 
 
+def maps(spark, sf_dir, genome):
+    n = A.n_bins(spark, sf_dir)
+    return A.bins(spark, n), A.pixels(spark, sf_dir, genome, n)
+
+
+def links(spark, sf_dir):
+    return A.links(spark, sf_dir, A.n_bins(spark, sf_dir))
+
+
 def near(spark, sf_dir):
-    return R.pixel_values(A.bins(spark), A.pixels(spark, sf_dir, 0), RES, max_distance=NEAR)
+    return R.pixel_values(*maps(spark, sf_dir, 0), RES, max_distance=NEAR)
 
 
 @query("bins", "SELECT bin_id, chrom, start, \"end\", weight FROM p_bins")
 def bins(spark, sf_dir):
-    return R.clean_bins(A.bins(spark))
+    return R.clean_bins(maps(spark, sf_dir, 0)[0])
 
 
 @query("pixels_filtered", "SELECT bin1, bin2, count, dist_bins FROM p_near WHERE g = 0")
@@ -111,7 +122,7 @@ def pixels_filtered(spark, sf_dir):
 
 @query("pixel_value", "SELECT bin1, bin2, count, val, dist_bins FROM p_values WHERE g = 1")
 def pixel_value(spark, sf_dir):
-    return R.pixel_values(A.bins(spark), A.pixels(spark, sf_dir, 1), RES, max_distance=FAR, inter=True).select("bin1", "bin2", "count", "val", "dist_bins")
+    return R.pixel_values(*maps(spark, sf_dir, 1), RES, max_distance=FAR, inter=True).select("bin1", "bin2", "count", "val", "dist_bins")
 
 
 @query("coverage", f"SELECT bin_id, cov FROM ({coverage_sql('p_near')}) WHERE g = 0")
@@ -126,7 +137,7 @@ def dist_ranks(spark, sf_dir):
 
 @query("contacts", f"SELECT {CONTACTS} FROM p_contacts WHERE g = 0")
 def contacts(spark, sf_dir):
-    return R.contacts(A.bins(spark), A.pixels(spark, sf_dir, 0), RES, max_distance=FAR, inter=True)
+    return R.contacts(*maps(spark, sf_dir, 0), RES, max_distance=FAR, inter=True)
 
 
 @query("dist_stats", "SELECT dist_bins, count(*) AS n, round(quantile_cont(CAST(val AS DOUBLE), 0.05), 6) AS p05, round(quantile_cont(CAST(val AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(val AS DOUBLE), 0.95), 6) AS p95 FROM p_near WHERE g = 0 GROUP BY dist_bins")
@@ -139,11 +150,33 @@ def slice_medians(spark, sf_dir):
     return R.distance_stats(near(spark, sf_dir)).select("dist_bins", F.posexplode("medians").alias("i", "q")).withColumn("q", F.round("q", 6))
 
 
+#: Weights without repeats: almost every value is a distance's only one.
+part("p_own", "SELECT CAST(b AS INTEGER) AS bin_id, CAST(1 + b % 9973 / 9973.0::DOUBLE AS FLOAT) AS weight FROM (SELECT unnest(range(n)) AS b FROM p_n)")
+part("p_own_values", """SELECT p.g, p.dist_bins, CAST(CAST(p.count AS DOUBLE) / CAST(CAST(x.weight AS DOUBLE) * CAST(y.weight AS DOUBLE) AS FLOAT) AS FLOAT) AS val FROM p_joined p JOIN p_own x ON p.bin1 = x.bin_id JOIN p_own y ON p.bin2 = y.bin_id""")
+
+
+def balanced(spark, sf_dir):
+    bins, pixels = maps(spark, sf_dir, 0)
+    own = bins.withColumn("weight", (1 + F.col("bin_id") % 9973 / F.lit(9973.0)).cast("float"))
+    return R.pixel_values(own, pixels, RES, max_distance=1 << 40, inter=True)
+
+
+@query("balanced_ranks", f"SELECT dist_bins, rank, strict, weak, count(*) AS n FROM ({ranks_sql('p_own_values')}) WHERE g = 0 GROUP BY ALL")
+def balanced_ranks(spark, sf_dir):
+    return R.value_ranks(balanced(spark, sf_dir)).groupBy("dist_bins", "rank", "strict", "weak").agg(F.count("*").alias("n"))
+
+
+@query("balanced_stats", "SELECT dist_bins, n, p05, CAST(i AS INTEGER) AS i, round(q, 4) AS q FROM (SELECT dist_bins, count(*) AS n, round(quantile_cont(CAST(val AS DOUBLE), 0.05), 4) AS p05, unnest(quantile_cont(CAST(val AS DOUBLE), [" + ", ".join(str((2 * i + 1) / 200) for i in range(100)) + "])) AS q, unnest(range(100)) AS i FROM p_own_values WHERE g = 0 GROUP BY dist_bins)")
+def balanced_stats(spark, sf_dir):
+    rows = R.distance_stats(balanced(spark, sf_dir)).select("dist_bins", "n", F.round("p05", 4).alias("p05"), F.posexplode("medians").alias("i", "q"))
+    return rows.withColumn("q", F.round("q", 4))
+
+
 # ---- synteny
 
-part("p_links", """SELECT p_partkey AS line, 'c' || CAST(a // 50 AS VARCHAR) AS chrom_a, sa AS start_a, sa + len AS end_a, 'c' || CAST(b // 50 AS VARCHAR) AS chrom_b, CASE WHEN minus THEN sb + len ELSE sb END AS start_b, CASE WHEN minus THEN sb ELSE sb + len END AS end_b
-  FROM (SELECT p_partkey, a, b, p_size % 3 = 0 AS minus, 200 + CAST(p_size AS BIGINT) * 2311 % 120000 AS len, a % 50 * 40000 + p_partkey * 1009 % 20000 AS sa, b % 50 * 40000 + p_partkey * 733 % 20000 AS sb
-  FROM (SELECT *, p_partkey * 37 % 200 AS a, (p_partkey * 37 + p_partkey % 7 * 3) % 200 AS b FROM part WHERE p_partkey < 200))""")
+part("p_links", """SELECT p_partkey AS line, 'c' || CAST(a // per AS VARCHAR) AS chrom_a, sa AS start_a, sa + len AS end_a, 'c' || CAST(b // per AS VARCHAR) AS chrom_b, CASE WHEN minus THEN sb + len ELSE sb END AS start_b, CASE WHEN minus THEN sb ELSE sb + len END AS end_b
+  FROM (SELECT p_partkey, a, b, per, p_size % 3 = 0 AS minus, 200 + CAST(p_size AS BIGINT) * 2311 % 120000 AS len, a % per * 40000 + p_partkey * 1009 % 20000 AS sa, b % per * 40000 + p_partkey * 733 % 20000 AS sb
+  FROM (SELECT *, n // 4 AS per, p_partkey * 37 % n AS a, (p_partkey * 37 + p_partkey % 7 * 3) % n AS b FROM part, p_n))""")
 part("p_blocks", "SELECT *, row_number() OVER (ORDER BY line) AS blk, CASE WHEN end_b >= start_b THEN 1 ELSE -1 END AS dir FROM p_links")
 part("p_gaps", """SELECT blk, 0 AS piece, chrom_a, pea AS start_a, start_a AS end_a, chrom_b, CASE WHEN pdir > 0 THEN peb ELSE start_b END AS start_b, CASE WHEN pdir > 0 THEN start_b ELSE peb END AS end_b, pdir AS dir, CAST(blk AS VARCHAR) || '_gap' AS tag
   FROM (SELECT *, lag(chrom_a) OVER w AS pa, lag(chrom_b) OVER w AS pb, lag(end_a) OVER w AS pea, lag(end_b) OVER w AS peb, lag(dir) OVER w AS pdir FROM p_blocks WINDOW w AS (ORDER BY line)) WHERE pa = chrom_a AND pb = chrom_b AND start_a - pea > 0""")
@@ -158,27 +191,27 @@ LINK = "line, chrom_a, start_a, end_a, chrom_b, start_b, end_b"
 
 @query("paf_to_link", f"SELECT {LINK} FROM p_links WHERE (end_a - start_a) % 1000 >= 300")
 def paf_to_link(spark, sf_dir):
-    return S.paf_to_link(A.paf(spark, sf_dir), 300)
+    return S.paf_to_link(A.paf(spark, sf_dir, A.n_bins(spark, sf_dir)), 300)
 
 
 @query("link_gaps", f"SELECT {MARK} FROM p_gaps")
 def link_gaps(spark, sf_dir):
-    return S.gaps(A.links(spark, sf_dir))
+    return S.gaps(links(spark, sf_dir))
 
 
 @query("link_densify", f"SELECT {MARK} FROM p_pieces")
 def link_densify(spark, sf_dir):
-    return S.densify(A.links(spark, sf_dir), thr_len=THR, step_len=STEP)
+    return S.densify(links(spark, sf_dir), thr_len=THR, step_len=STEP)
 
 
 @query("link_mark", f"SELECT {MARK} FROM p_mark")
 def link_mark(spark, sf_dir):
-    return S.link_to_mark(A.links(spark, sf_dir), thr_len=THR, step_len=STEP)
+    return S.link_to_mark(links(spark, sf_dir), thr_len=THR, step_len=STEP)
 
 
 @query("link_plain", f"SELECT blk, chrom_a, start_a, end_a, chrom_b, start_b, end_b, dir, CAST(blk AS VARCHAR) AS tag FROM p_blocks")
 def link_plain(spark, sf_dir):
-    return S.link_to_mark(A.links(spark, sf_dir), dense=False, gap=False).drop("piece")
+    return S.link_to_mark(links(spark, sf_dir), dense=False, gap=False).drop("piece")
 
 
 part("p_bed", "SELECT 'chrc' || CAST(p_partkey % 4 AS VARCHAR) AS chrom, p_partkey * 7919 % 2000000 AS start, p_partkey * 7919 % 2000000 + 100 + p_partkey * 131 % 900 AS \"end\", 'n' || CAST(p_partkey AS VARCHAR) AS name FROM part")
@@ -187,7 +220,8 @@ part("p_bed", "SELECT 'chrc' || CAST(p_partkey % 4 AS VARCHAR) AS chrom, p_partk
 @query("rough_lift", """SELECT fb.chrom, c.cb * 200 AS start, c.cb * 200 + 199 AS "end", name FROM (SELECT substr(chrom, 4) AS chrom, name, unnest(range(start // 200, "end" // 200 + 1)) AS ca FROM p_bed) d
   JOIN (SELECT DISTINCT chrom_a, (start_a + end_a) // 400 AS ca, chrom_b, (start_b + end_b) // 400 AS cb FROM p_mark) c ON d.chrom = c.chrom_a AND d.ca = c.ca JOIN p_fai_b fb ON fb.chrom = c.chrom_b""")
 def rough_lift(spark, sf_dir):
-    return S.rough_lift(A.bed(spark, sf_dir), S.link_to_mark(A.links(spark, sf_dir), thr_len=THR, step_len=STEP), A.fai(spark, A.ORDER_A), A.fai(spark, A.ORDER_B))
+    n = A.n_bins(spark, sf_dir)
+    return S.rough_lift(A.bed(spark, sf_dir), S.link_to_mark(A.links(spark, sf_dir, n), thr_len=THR, step_len=STEP), A.fai(spark, A.ORDER_A, n), A.fai(spark, A.ORDER_B, n))
 
 
 # ---- lift
@@ -372,12 +406,20 @@ def lift_dedup(spark, sf_dir):
 part("p_widths", "SELECT abs(CAST(split_part(split_part(t, '-', 2), ':', 2) AS BIGINT) - CAST(split_part(split_part(t, '-', 1), ':', 2) AS BIGINT)) AS w FROM (SELECT remap1_control AS t FROM p_rows UNION ALL SELECT remap2_control FROM p_rows) WHERE contains(t, '-')")
 
 
-@query("lift_resolution", """SELECT CAST(CASE WHEN g IS NULL THEN 40000 WHEN g < 1000 AND w IS NOT NULL THEN greatest(w, 10000) WHEN g < 1000 THEN 10000 ELSE g END AS BIGINT) AS resolution FROM (SELECT list_reduce(list(v), lambda a, b: gcd(a, b)) AS g FROM (
+@query("lift_resolution", """SELECT CAST(CASE WHEN g IS NULL THEN 40000 WHEN g < 1000 AND w IS NOT NULL THEN CASE WHEN w < 1000 THEN 10000 ELSE w END WHEN g < 1000 THEN 10000 ELSE g END AS BIGINT) AS resolution FROM (SELECT list_reduce(list(v), lambda a, b: gcd(a, b)) AS g FROM (
   SELECT DISTINCT v FROM (SELECT p - min(p) OVER (PARTITION BY c) AS v FROM (SELECT chr1_observed AS c, pos1_observed AS p FROM p_rows UNION ALL SELECT chr2_observed, pos2_observed FROM p_rows) UNION ALL SELECT w FROM p_widths) WHERE v > 0)) CROSS JOIN (SELECT mode(w) AS w FROM p_widths)""")
 def lift_resolution(spark, sf_dir):
     return P.infer_resolution(comparison(spark, sf_dir).rows())
 
 
+@query("resolution_by_labels", "SELECT CAST(CASE WHEN max(p_size) > 1 THEN 5000 ELSE 40000 END AS BIGINT) AS resolution FROM part")
+def resolution_by_labels(spark, sf_dir):
+    """Positions have no common step, so the most frequent width of labels counts, which is below the default's least."""
+    k = F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("c").alias("chr1_observed"), (k * 7).alias("pos1_observed"), F.lit("c").alias("chr2_observed"), (k * 11 + 3).alias("pos2_observed"), F.concat(F.lit("c:0-c:"), F.when(k % 5 == 0, 2000).otherwise(5000)).alias("remap1_control"), F.lit("c:1").alias("remap2_control"))
+    return P.infer_resolution(rows)
+
+
 LOCI = [("c0", 0, 800_000), ("c2", 400_000, 1_200_000), ("c3", 0, 2_000_000)]
 
 
@@ -422,15 +464,16 @@ def map_sql(observed: str, control: str, n: int) -> str:
 
 
 def permuted(rows: str, column: str) -> str:
-    line = f"'{SEED}|{{' || n1 || ', ' || n2 || ', ' || b1 || ', ' || b2 || '}}'"
-    return f"(SELECT x.* EXCLUDE ({column}, i), y.{column} FROM (SELECT *, row_number() OVER (ORDER BY n1, n2, b1, b2) AS i FROM {rows}) x JOIN (SELECT {column}, row_number() OVER (ORDER BY md5({line})) AS i FROM {rows}) y USING (i))"
+    locus = ", ".join(P.LOCUS)
+    line = f"'{SEED}|' || " + " || '|' || ".join(P.LOCUS)
+    return f"(SELECT x.* EXCLUDE ({column}, i), y.{column} FROM (SELECT *, row_number() OVER (ORDER BY {locus}) AS i FROM {rows}) x JOIN (SELECT {column}, row_number() OVER (ORDER BY md5({line})) AS i FROM {rows}) y USING (i))"
 
 
 GRID = 50
-part("p_band", f"SELECT CAST(observed_contacts AS DOUBLE) AS obs, CAST(control_contacts AS DOUBLE) AS ctrl, n1, n2, b1, b2 FROM p_rows WHERE n1 = n2 AND abs(pos2_observed // {RES} - pos1_observed // {RES}) BETWEEN 1 AND 20")
+part("p_band", f"SELECT CAST(observed_contacts AS DOUBLE) AS obs, CAST(control_contacts AS DOUBLE) AS ctrl, {', '.join(P.LOCUS)} FROM p_rows WHERE n1 = n2 AND abs(pos2_observed // {RES} - pos1_observed // {RES}) BETWEEN 1 AND 20")
 token_pos = lambda t: f"CASE WHEN contains({t}, '-') THEN (CAST(split_part(split_part({t}, '-', 1), ':', 2) AS BIGINT) + CAST(split_part(split_part({t}, '-', 2), ':', 2) AS BIGINT)) // 2 ELSE CAST(split_part({t}, ':', 2) AS BIGINT) END"
 token_chrom = lambda t: f"CASE WHEN contains({t}, '-') AND split_part(split_part({t}, '-', 1), ':', 1) <> split_part(split_part({t}, '-', 2), ':', 1) THEN NULL ELSE split_part({t}, ':', 1) END"
-part("p_dist", f"""SELECT CAST(observed_contacts AS DOUBLE) AS obs, CAST(control_contacts AS DOUBLE) AS ctrl, n1, n2, b1, b2, least(greatest(abs(pos2_observed - pos1_observed) / 1e6, 0), 5) AS da,
+part("p_dist", f"""SELECT CAST(observed_contacts AS DOUBLE) AS obs, CAST(control_contacts AS DOUBLE) AS ctrl, {', '.join(P.LOCUS)}, least(greatest(abs(pos2_observed - pos1_observed) / 1e6, 0), 5) AS da,
   least(greatest(CASE WHEN {token_chrom('remap1_control')} = {token_chrom('remap2_control')} THEN abs({token_pos('remap2_control')} - {token_pos('remap1_control')}) / 1e6 ELSE control_contact_distances END, 0), 5) AS db FROM p_rows WHERE n1 = n2""")
 
 
@@ -513,13 +556,13 @@ CUT = 95_000
 part("p_sizes", f"SELECT chrom, ord, (size - ord * {CUT}) // {RES} AS n, sum((size - ord * {CUT}) // {RES}) OVER (ORDER BY ord) - (size - ord * {CUT}) // {RES} AS off FROM p_fai_a")
 
 
-def _cut_fai(spark):
-    return A.fai(spark, A.ORDER_A).withColumn("size", F.col("size") - F.col("ord") * CUT)
+def _cut_fai(spark, sf_dir):
+    return A.fai(spark, A.ORDER_A, A.n_bins(spark, sf_dir)).withColumn("size", F.col("size") - F.col("ord") * CUT)
 
 
 @query("cool_bins", f"SELECT CAST(off + i AS BIGINT) AS bin_id, chrom, i * {RES} AS start, (i + 1) * {RES} AS \"end\" FROM (SELECT *, unnest(range(n)) AS i FROM p_sizes)")
 def cool_bins(spark, sf_dir):
-    return P.genome_bins(_cut_fai(spark), RES)
+    return P.genome_bins(_cut_fai(spark, sf_dir), RES)
 
 
 def cool_sql(which: str) -> str:
@@ -529,7 +572,7 @@ def cool_sql(which: str) -> str:
 def _cool(which: str, name: str):
     @query(name, cool_sql(which))
     def run(spark, sf_dir):
-        return P.genome_pixels(comparison(spark, sf_dir).dedup(), _cut_fai(spark), RES, which)
+        return P.genome_pixels(comparison(spark, sf_dir).dedup(), _cut_fai(spark, sf_dir), RES, which)
 
 
 _cool("obs", "cool_pixels")

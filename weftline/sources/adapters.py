@@ -1,6 +1,7 @@
 """Contact maps, links and tracks made of the driver's tables, in whole-number arithmetic.
 
-A map has ``n`` bins on four chromosomes; both genomes have the same names in a different order.
+A map has ``n`` bins on four chromosomes; both genomes have the same names in a different order. The number of bins
+follows that of the rows of part (see n_bins), and every row of part is a link.
 """
 
 from __future__ import annotations
@@ -9,25 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESOLUTION = 40_000
+LEAST_BINS = 200
 ORDER_A = ("c2", "c0", "c3", "c1")
 ORDER_B = ("c1", "c3", "c0", "c2")
 #: Weights by bin % 7: some are invalid on purpose.
 WEIGHTS = (0.5, 1.0, 2.0, 0.25, 0.0, -1.0, float("nan"))
 
 
-def fai(spark: SparkSession, order: tuple[str, ...], n: int = 200) -> DataFrame:
+def n_bins(spark: SparkSession, sf_dir: str) -> int:
+    """As many bins as part has rows, at least 200, on four chromosomes of equal length."""
+    return max(LEAST_BINS, spark.read.parquet(f"{sf_dir}/part.parquet").count()) // 4 * 4
+
+
+def fai(spark: SparkSession, order: tuple[str, ...], n: int) -> DataFrame:
     size = n // 4 * RESOLUTION
     return spark.createDataFrame([(c, i + 1, size) for i, c in enumerate(order)], "chrom string, ord int, size long")
 
 
-def bins(spark: SparkSession, n: int = 200) -> DataFrame:
+def bins(spark: SparkSession, n: int) -> DataFrame:
     per = n // 4
     at = F.col("id") % per * RESOLUTION
     weights = F.get(F.array(*(F.lit(w) for w in WEIGHTS)), (F.col("id") % 7).cast("int"))
     return spark.range(n).select(F.col("id").cast("int").alias("bin_id"), F.concat(F.lit("c"), F.expr(f"id div {per}")).alias("chrom"), at.alias("start"), (at + RESOLUTION).alias("end"), weights.cast("float").alias("weight"))
 
 
-def pixels(spark: SparkSession, sf_dir: str, genome: int, n: int = 200) -> DataFrame:
+def pixels(spark: SparkSession, sf_dir: str, genome: int, n: int) -> DataFrame:
     """bin1_id, bin2_id, count of genome 0 or 1."""
     base = F.col("l_partkey") * 7 + F.col("l_suppkey")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_linenumber") % 2 == genome)
@@ -35,9 +42,9 @@ def pixels(spark: SparkSession, sf_dir: str, genome: int, n: int = 200) -> DataF
     return rows.groupBy(F.least(u, v).cast("int").alias("bin1_id"), F.greatest(u, v).cast("int").alias("bin2_id")).agg(F.sum("l_quantity").cast("float").alias("count"))
 
 
-def links(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
+def links(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """line, chrom_a, start_a, end_a, chrom_b, start_b, end_b; every third is on the minus strand."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where(f"p_partkey < {n}")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
     per, k, size = n // 4, F.col("p_partkey"), F.col("p_size").cast("long")
     a, b = k * 37 % n, (k * 37 + k % 7 * 3) % n
     length = 200 + size * 2311 % 120_000
@@ -47,7 +54,7 @@ def links(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
     return part.select(k.alias("line"), name(a).alias("chrom_a"), start_a.alias("start_a"), (start_a + length).alias("end_a"), name(b).alias("chrom_b"), F.when(minus, low + length).otherwise(low).alias("start_b"), F.when(minus, low).otherwise(low + length).alias("end_b"))
 
 
-def paf(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
+def paf(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """The links as alignments: an unordered target interval and a strand."""
     link = links(spark, sf_dir, n)
     return link.select("line", F.col("chrom_a").alias("qname"), F.col("start_a").alias("qstart"), F.col("end_a").alias("qend"), F.when(F.col("start_b") > F.col("end_b"), "-").otherwise("+").alias("strand"), F.col("chrom_b").alias("tname"), F.least("start_b", "end_b").alias("tstart"), F.greatest("start_b", "end_b").alias("tend"), ((F.col("end_a") - F.col("start_a")) % 1000).alias("nmatch"))
