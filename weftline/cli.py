@@ -65,7 +65,7 @@ def asm2link(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def link2mark(spark: SparkSession, a: argparse.Namespace) -> None:
     mark = S.link_to_mark(T.read_link(spark, a.link), thr_len=a.thr_len, step_len=a.step_len, dense=not a.no_densify, gap=not a.no_gap)
-    T.write_rows(mark.orderBy("blk", "piece").drop("blk", "piece"), f"{a.out_prefix}.mark")
+    T.write_mark(mark, f"{a.out_prefix}.mark")
 
 
 def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -84,8 +84,7 @@ def roughlift(spark: SparkSession, a: argparse.Namespace) -> None:
 def liftcontacts(spark: SparkSession, a: argparse.Namespace) -> None:
     got = L.Lift(T.read_contacts(spark, a.contact_a), T.read_contacts(spark, a.contact_b), T.read_fai(spark, a.fadix_a), T.read_fai(spark, a.fadix_b), T.read_mark(spark, a.mark), agg_frame=a.agg_frame, model=a.model)
     T.write_lift(got.rows(a.dups_filter), f"{a.out_prefix}.liftContacts")
-    order = F.array_position(F.array(*map(F.lit, ("all", "remappable", "processed", "unique", "duplicated", "dropped"))), "name")
-    got.stat().orderBy(order).coalesce(1).write.mode("overwrite").option("sep", " ").csv(f"{a.out_prefix}.stat")  # six rows
+    T.write_stat(got.stat(), f"{a.out_prefix}.stat")
 
 
 def contact_stat(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -139,8 +138,16 @@ def plot_cross(spark: SparkSession, a: argparse.Namespace) -> None:
     T.write_rows(P.split_matrix(upper, lower).orderBy("iy", "ix"), f"{a.out_prefix}.matrix", header=True)
 
 
+#: Flags that only a drawn figure or another execution engine would need.
+WITHOUT_EFFECT = ("format", "dpi", "cmap", "vmax", "label_a", "label_b", "chunksize", "nthreads")
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    a = parser().parse_args(args)
+    given = sys.argv[1:] if args is None else args
+    a = parser().parse_args(given)
+    for name in WITHOUT_EFFECT:
+        if hasattr(a, name) and any(x.split("=")[0] == f"--{name.replace('_', '-')}" for x in given):
+            print(f"weftline: --{name.replace('_', '-')} has no effect: results are tables, and Spark deals out the work", file=sys.stderr)
     spark = spark or local_session()
     ship(spark)
     globals()[a.command.replace("-", "_")](spark, a)

@@ -12,6 +12,8 @@ from ..operators import post as P
 from ..operators import prepare as R
 from ..operators import synteny as S
 from ..sources import adapters as A
+from ..sources import text as T
+from ..storage import fresh_path
 from .workflow import Comparison, Species
 
 RES, NEAR, FAR = A.RESOLUTION, 1_200_000, 10_000_000
@@ -330,13 +332,61 @@ part("p_kept", "SELECT e.*, groups FROM p_ends_able e JOIN p_mapped USING (n, b)
 part("p_per", "SELECT n1, b1, n2, b2, count(*) AS c FROM p_cands GROUP BY ALL")
 
 
-@query("lift_stat", """SELECT 'all' AS name, (SELECT count(*) FROM p_canon_a) AS contacts, (SELECT count(*) FROM p_ends_all) AS bins UNION ALL SELECT 'remappable', (SELECT count(*) FROM p_able), (SELECT count(*) FROM p_ends_able)
+LIFT_STAT = """SELECT 'all' AS name, (SELECT count(*) FROM p_canon_a) AS contacts, (SELECT count(*) FROM p_ends_all) AS bins UNION ALL SELECT 'remappable', (SELECT count(*) FROM p_able), (SELECT count(*) FROM p_ends_able)
   UNION ALL SELECT 'processed', (SELECT count(*) FROM (SELECT DISTINCT n1, b1, n2, b2 FROM p_pairs WHERE hit)), (SELECT count(*) FROM p_ends_hit) UNION ALL SELECT 'unique', (SELECT count(*) FROM p_per WHERE c = 1), (SELECT count(*) FROM p_kept WHERE groups = 1)
-  UNION ALL SELECT 'duplicated', (SELECT count(*) FROM p_per WHERE c > 1), (SELECT count(*) FROM p_kept WHERE groups > 1) UNION ALL SELECT 'dropped', (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM p_per), (SELECT count(*) FROM p_lost)""")
+  UNION ALL SELECT 'duplicated', (SELECT count(*) FROM p_per WHERE c > 1), (SELECT count(*) FROM p_kept WHERE groups > 1) UNION ALL SELECT 'dropped', (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM p_per), (SELECT count(*) FROM p_lost)"""
+
+
+@query("lift_stat", LIFT_STAT)
 def lift_stat(spark, sf_dir):
     return comparison(spark, sf_dir).lift().stat()
 
 
+# ---- files: written, then read again; place is a row's number in the order of the file
+
+
+def again(spark, write, read) -> DataFrame:
+    path = fresh_path(spark, "file")
+    write(path)
+    return T.placed(read(spark, path))
+
+
+@query("contacts_file", f"SELECT row_number() OVER (ORDER BY dist_bins = -1, dist_bins, bin1, bin2) AS place, {CONTACTS} FROM p_contacts WHERE g = 0")
+def contacts_file(spark, sf_dir):
+    return again(spark, lambda path: T.write_contacts(R.contacts(*maps(spark, sf_dir, 0), RES, max_distance=FAR, inter=True), path), T.read_contacts)
+
+
+@query("mark_file", "SELECT row_number() OVER (ORDER BY blk, piece) AS place, chrom_a, start_a, end_a, chrom_b, start_b, end_b, dir, tag FROM p_mark")
+def mark_file(spark, sf_dir):
+    return again(spark, lambda path: T.write_mark(S.link_to_mark(links(spark, sf_dir), thr_len=THR, step_len=STEP), path), T.read_mark)
+
+
+@query("lift_file", f"SELECT row_number() OVER (ORDER BY n1, n2, b1, b2) AS place, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' if T.LIFT_COLUMNS.index(c) > 5 else c for c in T.LIFT_COLUMNS)} FROM p_rows")
+def lift_file(spark, sf_dir):
+    return again(spark, lambda path: T.write_lift(comparison(spark, sf_dir).rows(), path), T.read_lift)
+
+
+@query("stat_file", "SELECT list_position(['all', 'remappable', 'processed', 'unique', 'duplicated', 'dropped'], name) AS place, * FROM (" + LIFT_STAT + ")")
+def stat_file(spark, sf_dir):
+    return again(spark, lambda path: T.write_stat(comparison(spark, sf_dir).lift().stat(), path), T.read_stat)
+
+
+#: A third of the contacts come a second time, at the end of the file, with the bins the other way round and other values.
+part("p_twice", """SELECT o1, bin1, o2, bin2, again, CASE WHEN again THEN weak ELSE rank END AS rank, strict, CASE WHEN again THEN rank ELSE weak END AS weak, CASE WHEN again THEN cov1 + 1 ELSE cov1 END AS cov1, CASE WHEN again THEN cov2 + 2 ELSE cov2 END AS cov2
+  FROM (SELECT c.*, x.ord AS o1, y.ord AS o2, bin1 % 3 = 0 AND bin1 <> bin2 AS again FROM p_contacts c JOIN p_fai_a x ON chrom1 = x.chrom JOIN p_fai_a y ON chrom2 = y.chrom WHERE g = 0)""")
+
+
+@query("contacts_last_line", """SELECT CASE WHEN s THEN o2 ELSE o1 END AS n1, CASE WHEN s THEN bin2 ELSE bin1 END AS b1, CASE WHEN s THEN o1 ELSE o2 END AS n2, CASE WHEN s THEN bin1 ELSE bin2 END AS b2, rank, strict, weak, CASE WHEN s THEN cov2 ELSE cov1 END AS cov1, CASE WHEN s THEN cov1 ELSE cov2 END AS cov2
+  FROM (SELECT *, o2 < o1 OR (o1 = o2 AND bin2 < bin1) AS s FROM p_twice)""")
+def contacts_last_line(spark, sf_dir):
+    rows = R.contacts(*maps(spark, sf_dir, 0), RES, max_distance=FAR, inter=True).withColumn("late", F.lit(0))
+    other = {f"{c}{k}": F.col(f"{c}{3 - k}") for c in ("chrom", "start", "end", "bin") for k in (1, 2)}
+    late = rows.where("bin1 % 3 = 0 and bin1 != bin2").withColumns(other | {"rank": F.col("weak"), "weak": F.col("rank"), "cov1": F.col("cov1") + 1, "cov2": F.col("cov2") + 2, "late": F.lit(1)})
+    path = fresh_path(spark, "file")
+    T.write_rows(rows.union(late.select(*rows.columns)).orderBy("late", "bin1", "bin2").select(*T.CONTACT_COLUMNS), path, header=True)
+    return L.canonical(T.read_contacts(spark, path), A.fai(spark, A.ORDER_A, A.n_bins(spark, sf_dir)))
+
+
 # ---- after the lift
 
 
@@ -435,6 +485,12 @@ def bedgraph(spark, sf_dir):
     return _round_value(P.ordered_bedgraph(P.metric(c.dedup(), RES, frame=FRAME, name="log"), c.a.fai))
 
 
+@query("bedgraph_file", f"SELECT row_number() OVER (ORDER BY ord, start, \"end\") AS place, chrom, start, \"end\", round(value, 6) AS value FROM ({METRIC_SQL['log']}) JOIN p_fai_a USING (chrom)")
+def bedgraph_file(spark, sf_dir):
+    c = comparison(spark, sf_dir)
+    return _round_value(again(spark, lambda path: T.write_rows(P.ordered_bedgraph(P.metric(c.dedup(), RES, frame=FRAME, name="log"), c.a.fai), path), T.read_bedgraph))
+
+
 @query("shuffle_control", "SELECT chrom1, b1, chrom2, b2, obs, ctrl, dev_obs, dev_ctrl, l FROM p_shuffled")
 def shuffle_control(spark, sf_dir):
     return P.shuffled_contacts(comparison(spark, sf_dir).dedup(), SEED)

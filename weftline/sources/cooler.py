@@ -40,6 +40,8 @@ def read_map(spark: SparkSession, path: str, group: str = "/") -> tuple[DataFram
 
 
 def write_map(bins: DataFrame, pixels: DataFrame, path: str, assembly: str | None = None) -> None:
-    """bins and pixels as Parquet, with the assembly's name as a column of the bins."""
+    """bins and pixels as Parquet, with the assembly's name as a column of the bins. A .cool file isn't written."""
+    if path.endswith((".cool", ".mcool")):
+        raise ValueError(f"{path}: maps are written as folders of Parquet; cooler load makes a .cool file of their rows")
     (bins.withColumn("assembly", F.lit(assembly)) if assembly else bins).write.mode("overwrite").parquet(f"{path}/bins")
     pixels.orderBy("bin1_id", "bin2_id").write.mode("overwrite").parquet(f"{path}/pixels")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered
+
 #: Fixed column names of the 14-column contact format and of the 16-column lifted format.
 CONTACT_COLUMNS = "chrom1 start1 end1 bin1 chrom2 start2 end2 bin2 rank strict weak cov1 cov2 dist_bins".split()
 LIFT_COLUMNS = (
@@ -25,6 +27,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value"), order.alias("line"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with place, their number from 1 in the order of files and lines, instead of line."""
+    return numbered(rows, F.struct("line.file_path", "line.file_block_start"), [F.col("line")], "place").drop("line")
+
+
 def tokens(df: DataFrame, sep: str = r"\s+") -> DataFrame:
     return df.withColumn("t", F.split(F.trim(F.translate("value", "\t\r", "  ")) if sep == r"\s+" else F.col("value"), sep))
 
@@ -67,10 +74,12 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return out.dropna(subset=["start", "end"])
 
 
-def read_bed_midpoints(spark: SparkSession, path: str, chrom: str, start: int, end: int) -> DataFrame:
-    """Midpoints of one chromosome's records in [start, end), sorted; lines that begin with #, t or b are no records."""
+def read_bed_midpoints(spark: SparkSession, path: str, chrom: str, start: int, end: int, *, use_midpoint: bool = True) -> DataFrame:
+    """Midpoints (or starts) of one chromosome's records in [start, end), sorted; lines that begin with #, t or b are no
+    records, and a record without an end counts by its start."""
     rows = tokens(lines(spark, path)).where("substr(value, 1, 1) not in ('#', 't', 'b')")
-    x = F.coalesce(F.floor((token(1, "long") + token(2, "long")) / 2), token(1, "long"))
+    middle = F.floor((token(1, "long") + token(2, "long")) / 2)
+    x = F.coalesce(middle, token(1, "long")) if use_midpoint else token(1, "long")
     return rows.where(token(0) == chrom).select(x.cast("long").alias("x")).where((F.col("x") >= start) & (F.col("x") < end)).orderBy("x")
 
 
@@ -116,7 +125,20 @@ def write_contacts(df: DataFrame, path: str) -> None:
     write_rows(ordered.select(*(formatted(".6g", c).alias(c) if c in ("cov1", "cov2") else F.col(c) for c in CONTACT_COLUMNS)), path, header=True)
 
 
+def write_mark(df: DataFrame, path: str) -> None:
+    write_rows(df.orderBy("blk", "piece").drop("blk", "piece"), path)
+
+
+def write_stat(df: DataFrame, path: str) -> None:
+    order = F.array_position(F.array(*map(F.lit, ("all", "remappable", "processed", "unique", "duplicated", "dropped"))), "name")
+    df.orderBy(order).coalesce(1).write.mode("overwrite").option("sep", " ").csv(path)  # six rows
+
+
+def read_stat(spark: SparkSession, path: str) -> DataFrame:
+    return tokens(lines(spark, path)).select("line", token(0).alias("name"), token(1, "long").alias("contacts"), token(2, "long").alias("bins"))
+
+
 def write_lift(df: DataFrame, path: str) -> None:
-    """df must come from operators.lift.lift_contacts: its line column holds the order."""
+    """df must come from operators.lift.lift_rows: its line column holds the order."""
     shown = {"control_contact_distances": ".2f", "remapping_coverages": ".5f"}
     write_rows(df.orderBy("line").select(*(formatted(shown[c], c).alias(c) if c in shown else F.col(c) for c in LIFT_COLUMNS)), path, header=True)
