@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from contextlib import suppress
@@ -78,3 +79,10 @@ def forget(*tables: DataFrame) -> None:
     """Removes tables that written() made, once nothing that is still to run reads them."""
     for df in tables:
         drop_path(df.sparkSession, df._written_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished queries that nothing refers to any more; it does so when the driver
+    collects its garbage, which may not be for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
