@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,48 @@ def test_plan_is_best_fit_with_one_size():
         assert fills == sorted(20 - r for r in rooms)
 
 
+def cheapest(pieces, caps, costs):
+    """The least cost of any packing, by trying all."""
+    best = math.inf
+
+    def place(i, bins):
+        nonlocal best
+        if sum(min(costs[c] for c in caps if c >= b) for b in bins) >= best:
+            return
+        if i == len(pieces):
+            best = sum(min(costs[c] for c in caps if c >= b) for b in bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + pieces[i] <= caps[-1]:
+                place(i + 1, [*bins[:j], bins[j] + pieces[i], *bins[j + 1 :]])
+        place(i + 1, [*bins, pieces[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("caps", [[4, 8, 16], [10, 13, 20], [6, 7]])
+def test_plans_of_several_sizes_are_near_the_cheapest(caps):
+    rng, ratios = random.Random(3), []
+    costs = {c: c + 1 for c in caps}
+    for _ in range(60):
+        pieces = [rng.randint(1, caps[-1]) for _ in range(rng.randint(1, 7))]
+        made = packing.plan(Counter(pieces), caps, costs)
+        ratios.append(sum(n * costs[c] for _, n, c, _ in made.bins.tolist()) / cheapest(sorted(pieces, reverse=True), caps, costs))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.35 and sum(ratios) / len(ratios) < 1.06
+
+
+def test_sequences_follow_the_rows(spark, tmp_path):
+    spark.range(500).selectExpr("id as doc_id", "repeat('w ', int(1 + id * 7919 % 400)) as text").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    rows = packing.pack(spark.read.parquet(f"{tmp_path}/docs")).toPandas()
+    first = rows.groupby("sequence").doc_id.min()
+    assert first.is_monotonic_increasing and list(first.index) == list(range(1, rows.bin_id.nunique() + 1)) and len(rows) == 500
+    for _, same in rows.sort_values("doc_id").groupby("length"):  # of equal pieces the earlier ones are in the plan's earlier places
+        assert same.doc_id.is_monotonic_increasing and len(set(zip(same.bin_id, same.bin_offset))) == len(same)
+    none = packing.pack(spark.createDataFrame([(1, 0), (2, None), (3, 5)], "doc_id long, size int"), F.col("size")).toPandas().set_index("doc_id")
+    assert none.bin_id.isna().to_dict() == {1: True, 2: True, 3: False} and none.length.to_dict() == {1: 0, 2: 0, 3: 5}
+
+
 def test_pack_rows(odd_docs, no_docs):
     rows = packing.pack(odd_docs).toPandas()
     assert len(rows) == odd_docs.count() - 1 + math.ceil(60_001 / 4096)
@@ -141,16 +184,22 @@ def test_few_or_no_candidates(spark):
 # ---- mixing
 
 
-def test_every_prefix_is_within_one_block():
-    rng = random.Random(4)
-    for _ in range(20):
-        parts = mixing.shares({f"s{i}": rng.random() ** 3 for i in range(rng.randint(1, 30))}, 300)
-        order, seen, total = mixing.one_period(parts), Counter(), sum(parts.values())
-        assert len(order) == total
-        for t, (s, j, slot, release, deadline) in enumerate(order):
-            assert slot == t and release <= slot < deadline and j == seen[s]
-            seen[s] += 1
-            assert all(abs(seen[k] - n * (t + 1) / total) < 1 for k, n in parts.items())
+def test_schedules_match_a_search_of_every_slot():
+    """Slot by slot, over all sources: the released block with the earliest deadline, in exact fractions."""
+    rng = random.Random(14)
+    for _ in range(40):
+        weights = {f"s{i}": rng.choice([0.1, 0.25, 1 / 3, rng.random(), 2.0]) for i in range(rng.randint(1, 8))}
+        blocks = {s: rng.randint(0, 40) for s in weights}
+        share = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+        done, slot, want = Counter(), 0, []
+        while any(done[s] < blocks[s] for s in weights):
+            ready = [(math.ceil((done[s] + 1) / share[s]), -share[s], i, s) for i, s in enumerate(weights) if done[s] < blocks[s] and math.floor(done[s] / share[s]) <= slot]
+            if ready:
+                deadline, _, _, s = min(ready)
+                want.append((s, done[s], slot, math.floor(done[s] / share[s]), deadline))
+                done[s] += 1
+            slot += 1
+        assert list(mixing.whole_schedule(weights, blocks)) == want
 
 
 def test_schedule_rows(odd_docs, no_docs):
@@ -188,6 +237,45 @@ def test_given_weights_hold_over_the_whole_horizon(spark, monkeypatch):
 # ---- quality
 
 
+def plain_features(text):
+    """Of each passage of 80 words, by loops: the shares of byte classes, and statistics of its words."""
+    data = text + b"\n"
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    starts = [0] + [words[i][0] for i in range(80, len(words), 80)] + [len(data)]
+    kind = lambda c: "lower" if 97 <= c <= 122 else "upper" if 65 <= c <= 90 else "digit" if 48 <= c <= 57 else "newline" if c == 10 else "blank" if c in b" \t\v\f\r" else "high" if c > 127 else "stop" if c in b".,;:?!" else "symbol" if c in b"#*$%&|<>@{}[]\\^~_=+/" else "other"
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    for k, (a, b) in enumerate(zip(starts, starts[1:])):
+        own = [w for _, w in words[80 * k : 80 * k + 80]]
+        low, n, part = [w.translate(lower) for w in own], max(1, len(own)), data[a:b]
+        classes, lengths = Counter(map(kind, part)), [len(w) for w in own] or [0]
+        mean = sum(map(len, own)) / n
+        spread = math.sqrt(max(0, sum(x * x for x in lengths) / n - mean**2))
+        letters = max(1, classes["lower"] + classes["upper"])
+        yield [classes[c] / len(part) for c in AQ.CLASSES] + [mean / 10, spread / 5, sum(65 <= w[0] <= 90 for w in own) / n, len(set(low)) / n, sum(x == y for x, y in zip(low, low[1:])) / n, max(Counter(low).values(), default=0) / n, math.log1p(len(own)) / 5, classes["upper"] / letters, (classes["high"] / len(part)) ** 0.5]
+
+
+def test_features_and_scores_match_plain_ones(docs):
+    texts = [t.encode() for t in [*docs.iloc[:60], "", "  \n", "A a B! é", "x " * 500, " lead and  gaps \n" * 30]]
+    x = np.concatenate([a for a, _ in AQ.encoded(texts)])
+    n = np.concatenate([b for _, b in AQ.encoded(texts)])
+    want = [list(plain_features(t)) for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    assert np.allclose(x[:, : len(AQ.CLASSES) + 9], np.concatenate(want), atol=1e-9)
+    hashed = x[:, len(AQ.CLASSES) + 9 :]
+    assert np.allclose(np.linalg.norm(hashed[np.linalg.norm(hashed, axis=1) > 0.999], axis=1), 1)
+    model = AQ.learn(np.split(x, np.cumsum(n)[:-1]), np.arange(len(n)) % 2.0, epochs=1)
+    got, p = model.score(x, n), model.p
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for bag, score in zip(np.split(x, np.cumsum(n)[:-1]), got):
+        e = [np.tanh((row - p["mean"]) / p["spread"] @ p["W"] + p["b"]) for row in bag]
+        raw = [float(np.tanh(v @ p["V"]) * np.array([sig(y) for y in v @ p["U"]]) @ p["w"]) for v in e]
+        power = [math.exp(r - max(raw)) for r in raw]
+        assert score == pytest.approx(sig(float(sum(a * v for a, v in zip(power, e)) / sum(power) @ p["c"] + p["d"][0])))
+    long = b" ".join(texts[:60]) * 3
+    parts = [*AQ.whole_passages(long, 3000)]
+    assert b"".join(t for t, _ in parts) == long and np.array_equal(np.concatenate([AQ.encode([t], last)[0] for t, last in parts]), AQ.encode([long])[0])
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, AQ.FEATURES)) for n in (1, 3, 2)]
@@ -554,6 +642,15 @@ def test_frequent_lines_deplete_documents(spark):
     assert kept == {*range(40, 150), 200, 201}
 
 
+def test_limits_do_not_grow_with_the_host(spark):
+    """A line of eight documents is found on a host of two thousand; one of seven is not."""
+    rows = [(i, (f"found  line {'x' * 30}\n" if i < 8 else f"other line {'y' * 30}\n" if i < 15 else "") + f"own {i} " * 3, "hot") for i in range(2000)]
+    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "doc_id long, text string, source string, `a.b` int, clean string")
+    left = {r.doc_id: r.text for r in line_quality.without_frequent_lines(df).collect()}
+    assert left == {i: t.split("\n")[1] if i < 8 else t for i, t, _ in rows}
+    assert line_quality.without_frequent_lines(df).columns == df.columns and line_quality.base_rules(df).columns[:5] == df.columns
+
+
 def test_spacing_hides_no_frequent_line(spark):
     spaced = lambda i: "".join(f"{'\t' if k % 5 == i % 5 else ' ' * (1 + (k + i) % 3)}N{k}" for k in range(60))
     rows = [(i, f"{spaced(i)}\n{i} own", "h") for i in range(40)] + [(i, " ".join(f"w{i}x{k}" for k in range(12)), "h") for i in range(40, 100)]
