@@ -72,3 +72,21 @@ def test_commands(spark, small, tmp_path):
     assert all(r.endswith("\tx") for r in lines(at("t.out")))
     run("contact-stat", *common, "--bins", 10, "--repeats", 2)
     assert len([r for r in lines(at("y.ratio_heatmap")) if not r.startswith("ix")]) == 100
+
+
+def test_project(spark, small, tmp_path, capsys):
+    import json
+
+    for g, order, name in ((0, A.ORDER_A, "a"), (1, A.ORDER_B, "b")):
+        cooler.write_map(A.bins(spark, 200), A.pixels(spark, small, g, 200), f"{tmp_path}/{name}.map")
+        put(tmp_path / f"{name}.fai", [f"{c}\t2000000" for c in order])
+    put(tmp_path / "ab.link", ["\t".join(map(str, tuple(r)[1:])) for r in A.links(spark, small, 200).orderBy("line").collect()])
+    settings = {"species": {n: {"fai": f"{n}.fai", "cool": f"{n}.map"} for n in "ab"}, "pairs": [{"a": "a", "b": "b", "link": "ab.link"}], "cool_group": "/resolutions/40000"}
+    settings["parameters"] = {"prepare_parameters": "--inter", "link2mark_parameters": "--thr-len 5000 --step-len 2500", "liftcontacts_parameters": "--agg-frame 80000 --dups-filter coverage --model balanced", "contact_stat_parameters": "--bins 10", "metric_parameters": "--frames 3 4 --metric log"}
+    path = put(tmp_path / "project.yaml", [json.dumps(settings)])  # JSON is YAML, too
+    work = f"{tmp_path}/work"
+    shown = lambda *more: (cli.main(["project", "--config", path, "--work", work, *more], spark), [x.split()[:2] for x in capsys.readouterr().out.splitlines()])[1]
+    commands = ["prepare", "prepare", "link2mark", "liftcontacts", "contact-stat", "metric", "lift2cool"]
+    assert shown("--dry-run") == [["run", c] for c in commands]
+    assert shown() == [["run", c] for c in commands] and shown() == [["done", c] for c in commands]
+    assert len(lines(f"{work}/step2/a_b/a_b.liftContacts")) > 100 and len(lines(f"{work}/step3/a_b.log.4frame.bedGraph")) > 20

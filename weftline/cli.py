@@ -1,4 +1,4 @@
-"""Command line: nine subcommands over files, each a thin layer on the operators.
+"""Command line: nine subcommands over files, each a thin layer on the operators, and one that runs them for a project.
 
 Figures are given as tables (histograms, matrices, curves) under the output prefix.
 """
@@ -18,6 +18,7 @@ from .operators import lift as L
 from .operators import post as P
 from .operators import prepare as R
 from .operators import synteny as S
+from .plans.project import run as run_project
 from .session import local_session, ship
 from .sources import cooler as C
 from .sources import text as T
@@ -47,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     command("metric", "windowed divergence metrics", ("--liftover", need), ("--fadix", need), ("--frames", {"type": int, "nargs": "+", "default": [8]}), ("--metric", {"default": "pbad", "choices": tuple(P.METRICS)}), ("--max-dist-mb", {"type": float, "default": 100.0}), *figure, ("--out-prefix", need))
     command("lift2cool", "lifted contacts to two contact maps", ("--liftover", need), ("--fadix", need), ("--assembly", {}), ("--out-prefix", need))
     command("plot-cross", "the matrix of a region, two modes in two triangles", ("--liftover", need), ("--fadix", need), ("--locus", need), ("--heat", {"default": "obs"}), ("--out-prefix", need), *figure)
+    command("project", "all steps of the species and pairs of a settings file that are not done yet", ("--config", need), ("--work", {"default": "."}), ("--dry-run", {"action": "store_true"}))
     return top
 
 
@@ -138,6 +140,11 @@ def plot_cross(spark: SparkSession, a: argparse.Namespace) -> None:
     T.write_rows(P.split_matrix(upper, lower).orderBy("iy", "ix"), f"{a.out_prefix}.matrix", header=True)
 
 
+def project(spark: SparkSession, a: argparse.Namespace) -> None:
+    for step, due in run_project(spark, a.config, a.work, lambda args: main(args, spark), dry=a.dry_run):
+        print("run " if due else "done", step.command, step.target)
+
+
 #: Flags that only a drawn figure or another execution engine would need.
 WITHOUT_EFFECT = ("format", "dpi", "cmap", "vmax", "label_a", "label_b", "chunksize", "nthreads")
 
