@@ -34,9 +34,11 @@ def ready(spark: SparkSession) -> None:
 
 
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of batches that, when its task ends, gives freed memory back to the system: workers outlive their tasks."""
+    """A function of batches that gives freed memory back to the system, large arrays at once and the rest when its task
+    ends: workers outlive their tasks."""
 
     def outer(batches):
+        _libc("mallopt", -3, 4 << 20)  # M_MMAP_THRESHOLD, which would grow otherwise
         yield from run(batches)
         give_back()
 
@@ -48,8 +50,12 @@ def give_back() -> None:
 
     gc.collect()
     pa.default_memory_pool().release_unused()
+    _libc("malloc_trim", 0)
+
+
+def _libc(name: str, *args: int) -> None:
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        getattr(ctypes.CDLL("libc.so.6"), name)(*args)
     except (OSError, AttributeError):
         return  # another C library, which has no such call
 

@@ -43,7 +43,7 @@ DEPTH = 6
 #: Runs and words whose values are broadcast (about 24 bytes each): a cache, which no result depends on.
 CACHED, CACHED_WORDS = 1 << 21, 1 << 17
 #: Runs and words that a task holds before it sends their counts on, and parts that they are dealt into.
-HELD, PARTS = 1 << 21, 512
+HELD, PARTS = 1 << 20, 512
 END = 0xFF
 #: The number of a text's end among words.
 END_WORD = np.uint64(0x9B05688C2B3E6C1F)
@@ -86,13 +86,14 @@ def _lowered(texts) -> list[bytes]:
 
 
 class Counts:
-    """Counts of 64-bit numbers, for training and in all: sorted, in bounded memory."""
+    """Counts of 64-bit numbers, for training and in all: sorted, in bounded memory. kind: int32 where they are of one task."""
 
-    def __init__(self):
+    def __init__(self, kind=np.int64):
+        self.kind = kind
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.n, self.m = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.n, self.m = np.zeros(0, np.uint64), np.zeros(0, self.kind), np.zeros(0, self.kind)
         self.raw: list[tuple[np.ndarray, bool]] = []
         self.n_raw = 0
 
@@ -106,10 +107,11 @@ class Counts:
         for training in (True, False):
             parts = [x for x, t in self.raw if t == training]
             if parts:
-                values = np.sort(np.concatenate(parts))
+                values = np.concatenate(parts)
+                values.sort()
                 at = _runs_of(values)
-                c = np.diff(at, append=len(values))
-                self.merge(values[at], c if training else np.zeros(len(c), np.int64), c)
+                c = np.diff(at, append=len(values)).astype(self.kind)
+                self.merge(values[at], c if training else np.zeros(len(c), self.kind), c)
         self.raw, self.n_raw = [], 0
 
     def merge(self, keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> None:
@@ -119,7 +121,7 @@ class Counts:
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             at = _runs_of(keys)
-            keys, n, m = keys[at], np.add.reduceat(n[order], at), np.add.reduceat(m[order], at)
+            keys, n, m = keys[at], np.add.reduceat(n[order], at, dtype=self.kind), np.add.reduceat(m[order], at, dtype=self.kind)
         self.keys, self.n, self.m = keys, n, m
 
 
@@ -150,7 +152,7 @@ def _blobs(kind: int, counts: Counts):
 @tidied
 def _counted(batches):
     """Blobs of runs (kind 0; all texts) and of words (kind 1; training texts only)."""
-    grams, words = Counts(), Counts()
+    grams, words = Counts(np.int32), Counts(np.int32)
     for batch in batches:
         training = batch.column(1).to_numpy(zero_copy_only=False)
         texts = _lowered(batch.column(0).to_pylist())
@@ -329,7 +331,7 @@ def _merged(batches):
     for (kind, part), t in groups(batches, 2):
         counts = Counts()
         for keys, n, m in zip(*(t[c] for c in ("keys", "n", "m"))):
-            counts.merge(np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(n.as_py(), np.int64), np.frombuffer((m if kind == 0 else n).as_py(), np.int64))
+            counts.merge(np.frombuffer(keys.as_py(), np.uint64), *(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in (n, m if kind == 0 else n)))
         yield rows(1, {"kind": [kind], "part": [part], "keys": [counts.keys.tobytes()], "n": [counts.n.tobytes()], "m": [counts.m.tobytes()]})
         if kind == 0 and counts.n.any():
             key, zeros, ones, below = Subtrees(counts.keys, counts.n).summary()
