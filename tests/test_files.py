@@ -29,6 +29,8 @@ def test_readers_drop_odd_lines(spark, tmp_path):
     assert [tuple(r)[1:] for r in bed.orderBy("line").collect()] == [("c", 1, 2, "."), ("c", 3, 4, "n")]
     mids = text.read_bed_midpoints(spark, put(tmp_path / "m.bed", ["# c 1 3", "track", "browser", "c 7 10", "c 1 4", "d 1 2", "c 90 99"]), "c", 0, 50)
     assert [r.x for r in mids.collect()] == [2, 8]
+    starts = text.read_bed_midpoints(spark, put(tmp_path / "s.bed", ["c 7 10", "c 1 4", "c 5", "c 60 70"]), "c", 0, 50, use_midpoint=False)
+    assert [r.x for r in starts.collect()] == [1, 7]
     track = text.read_bedgraph(spark, put(tmp_path / "x.bg", ["#h", "c 0 10 1.5", "c 0"]))
     assert [tuple(r)[1:] for r in track.collect()] == [("c", 0, 10, 1.5)]
     with pytest.raises(ValueError):

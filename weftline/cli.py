@@ -22,6 +22,7 @@ from .plans.project import run as run_project
 from .session import local_session, ship
 from .sources import cooler as C
 from .sources import text as T
+from .storage import written
 
 PALETTES = ("pinkblue", "RdBu_r", "coolwarm", "PuOr_r", "viridis")
 FORMATS = ("pdf", "png", "svg")
@@ -105,8 +106,10 @@ def contact_stat(spark: SparkSession, a: argparse.Namespace) -> None:
         "distance": lambda s: P.distance_map(rows, max_dist_mb=a.max_dist_mb, bins=a.bins, seed=s),
         "ratio": lambda s: P.ratio_map(rows, max_dist_mb=a.max_dist_mb, xy_range=a.xy_range, bins=a.bins, seed=s),
     }
-    for name, make in made.items():
-        T.write_rows(averaged(make).withColumn("log2_ratio", P.safe_log2(F.col("observed"), F.col("control"))).orderBy("ix", "iy"), f"{a.out_prefix}.{name}_heatmap", header=True)
+    maps = {name: written(averaged(make).withColumn("log2_ratio", P.safe_log2(F.col("observed"), F.col("control"))), "map") for name, make in made.items()}
+    for name, m in maps.items():
+        T.write_rows(m.orderBy("ix", "iy"), f"{a.out_prefix}.{name}_heatmap", header=True)
+    T.write_rows(P.map_limits(maps, a.vmax), f"{a.out_prefix}.limits", header=True)
 
 
 def metric(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -146,7 +149,7 @@ def project(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 #: Flags that only a drawn figure or another execution engine would need.
-WITHOUT_EFFECT = ("format", "dpi", "cmap", "vmax", "label_a", "label_b", "chunksize", "nthreads")
+WITHOUT_EFFECT = ("format", "dpi", "cmap", "label_a", "label_b", "chunksize", "nthreads")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:

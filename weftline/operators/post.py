@@ -334,6 +334,16 @@ def color_limit(matrix: DataFrame, quantile: float = 0.98) -> DataFrame:
     return matrix.agg(F.greatest(F.percentile(F.abs("v"), quantile), F.lit(1e-6)).alias("limit"))
 
 
+def map_limits(maps: dict[str, DataFrame], given: float | None = None) -> DataFrame:
+    """map, limit: that of each map's diverging colours, as given or the 99 % quantile of its ratios' sizes. Maps are grids of
+    a fixed size, so a quantile is one small sort."""
+    rows = [(color_limit(m.select(F.col("log2_ratio").alias("v")), 0.99) if given is None else m.sparkSession.range(1).select(F.lit(float(given)).alias("limit"))).select(F.lit(name).alias("map"), "limit") for name, m in maps.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
 def genome_bins(fai: DataFrame, resolution: int) -> DataFrame:
     """bin_id, chrom, start, end of full bins, in the order of the index; tails are dropped."""
     sizes = fai.withColumn("n", F.floor(F.col("size") / resolution))

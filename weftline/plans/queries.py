@@ -526,6 +526,7 @@ def permuted(rows: str, column: str) -> str:
 
 
 GRID = 50
+MAP_SQL: dict[str, str] = {}
 part("p_band", f"SELECT CAST(observed_contacts AS DOUBLE) AS obs, CAST(control_contacts AS DOUBLE) AS ctrl, {', '.join(P.LOCUS)} FROM p_rows WHERE n1 = n2 AND abs(pos2_observed // {RES} - pos1_observed // {RES}) BETWEEN 1 AND 20")
 token_pos = lambda t: f"CASE WHEN contains({t}, '-') THEN (CAST(split_part(split_part({t}, '-', 1), ':', 2) AS BIGINT) + CAST(split_part(split_part({t}, '-', 2), ':', 2) AS BIGINT)) // 2 ELSE CAST(split_part({t}, ':', 2) AS BIGINT) END"
 token_chrom = lambda t: f"CASE WHEN contains({t}, '-') AND split_part(split_part({t}, '-', 1), ':', 1) <> split_part(split_part({t}, '-', 2), ':', 1) THEN NULL ELSE split_part({t}, ':', 1) END"
@@ -537,13 +538,19 @@ def _rounded_map(df: DataFrame) -> DataFrame:
     return df.select("ix", "iy", *(F.round(c, 6).alias(c) for c in ("observed", "control", "log2_ratio")))
 
 
-@query("hist_percentile", map_sql(hist2d_sql("p_band", "ctrl", "obs", 0, 100, GRID), hist2d_sql(permuted("p_band", "ctrl"), "ctrl", "obs", 0, 100, GRID), GRID))
+MAP_SQL["percentile"] = map_sql(hist2d_sql("p_band", "ctrl", "obs", 0, 100, GRID), hist2d_sql(permuted("p_band", "ctrl"), "ctrl", "obs", 0, 100, GRID), GRID)
+
+
+@query("hist_percentile", MAP_SQL["percentile"])
 def hist_percentile(spark, sf_dir):
     c = comparison(spark, sf_dir)
     return _rounded_map(P.percentile_map(c.rows(), c.a.fai, RES, bins=GRID, seed=SEED))
 
 
-@query("hist_distance", map_sql(hist2d_sql("p_dist", "db", "da", 0, 5.0, GRID), hist2d_sql(permuted("p_dist", "db"), "db", "da", 0, 5.0, GRID), GRID))
+MAP_SQL["distance"] = map_sql(hist2d_sql("p_dist", "db", "da", 0, 5.0, GRID), hist2d_sql(permuted("p_dist", "db"), "db", "da", 0, 5.0, GRID), GRID)
+
+
+@query("hist_distance", MAP_SQL["distance"])
 def hist_distance(spark, sf_dir):
     return _rounded_map(P.distance_map(comparison(spark, sf_dir).rows(), bins=GRID, seed=SEED))
 
@@ -552,11 +559,24 @@ def ratio_sql(a: str, b: str) -> str:
     return f"log2((greatest({a} + 1e-6, 0) + 1e-9) / (greatest({b} + 1e-6, 0) + 1e-9))"
 
 
-@query("hist_ratio", map_sql(hist2d_sql("p_dist", ratio_sql("da", "db"), ratio_sql("obs", "ctrl"), -12.0, 12.0, GRID), hist2d_sql(permuted("p_dist", "ctrl"), ratio_sql("da", "db"), ratio_sql("obs", "ctrl"), -12.0, 12.0, GRID), GRID))
+MAP_SQL["ratio"] = map_sql(hist2d_sql("p_dist", ratio_sql("da", "db"), ratio_sql("obs", "ctrl"), -12.0, 12.0, GRID), hist2d_sql(permuted("p_dist", "ctrl"), ratio_sql("da", "db"), ratio_sql("obs", "ctrl"), -12.0, 12.0, GRID), GRID)
+
+
+@query("hist_ratio", MAP_SQL["ratio"])
 def hist_ratio(spark, sf_dir):
     return _rounded_map(P.ratio_map(comparison(spark, sf_dir).rows(), bins=GRID, seed=SEED))
 
 
+def _maps(spark, sf_dir):
+    c = comparison(spark, sf_dir)
+    return {"percentile": P.percentile_map(c.rows(), c.a.fai, RES, bins=GRID, seed=SEED), "distance": P.distance_map(c.rows(), bins=GRID, seed=SEED), "ratio": P.ratio_map(c.rows(), bins=GRID, seed=SEED)}
+
+
+@query("map_limits", " UNION ALL ".join(f"SELECT '{name}' AS map, round(greatest(quantile_cont(abs(log2_ratio), 0.99), 1e-6), 4) AS \"limit\" FROM ({sql})" for name, sql in MAP_SQL.items()))
+def map_limits(spark, sf_dir):
+    return P.map_limits({name: _rounded_map(m) for name, m in _maps(spark, sf_dir).items()}).withColumn("limit", F.round("limit", 4))
+
+
 SPAN = (-2.0, 2.0)
 
 

@@ -75,11 +75,10 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bed_midpoints(spark: SparkSession, path: str, chrom: str, start: int, end: int, *, use_midpoint: bool = True) -> DataFrame:
-    """Midpoints (or starts) of one chromosome's records in [start, end), sorted; lines that begin with #, t or b are no
-    records, and a record without an end counts by its start."""
-    rows = tokens(lines(spark, path)).where("substr(value, 1, 1) not in ('#', 't', 'b')")
-    middle = F.floor((token(1, "long") + token(2, "long")) / 2)
-    x = F.coalesce(middle, token(1, "long")) if use_midpoint else token(1, "long")
+    """Midpoints (or starts) of one chromosome's records in [start, end), sorted; lines that begin with #, t or b and lines
+    of less than three fields are no records."""
+    rows = tokens(lines(spark, path)).where("size(t) >= 3 and substr(value, 1, 1) not in ('#', 't', 'b')")
+    x = F.floor((token(1, "long") + token(2, "long")) / 2) if use_midpoint else token(1, "long")
     return rows.where(token(0) == chrom).select(x.cast("long").alias("x")).where((F.col("x") >= start) & (F.col("x") < end)).orderBy("x")
 
 
