@@ -6,9 +6,10 @@
    numbers. Counted are those that repeat within a task's share of the corpus, and all shingles of one set in SAMPLED,
    whose counts stand for SAMPLED times as many. Any total order gives right results; this one keeps common
    passages out of prefixes.
-3. Two sets that link share a shingle of their prefixes (the first n - ceil(0.8 n) + 1 in order). For each
-   shingle the sets that have it in their prefix are listed by size. The first candidates are neighbours in
-   many lists, and each set with the hub of its lists: the set that holds the most common shingles.
+3. Two sets that link share shingles of their prefixes (the first n - ceil(0.8 n) + 1 in order), and at least as many as
+   their sizes ask for. For each shingle the sets that have it in their prefix are listed by size. The first candidates are
+   neighbours in many lists, and each set with the hub of its lists: the set that holds the most common shingles. Of all
+   candidates only pairs whose lists meet often enough are checked.
 4. Vertical partitioning: the order is cut into fragments, each set into one segment per fragment.
    The overlap of a candidate pair is counted in each fragment separately and summed per pair.
 5. Links join sets into components. Then all pairs in a list that are still in different components
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import drop_table, forget, fresh_table, written
+from ..storage import drop_table, forget, fresh_table, release, written
 from .common import groups, ready, tidied
 from .components import components
 from .shingles import digest_of, shingle_sets
@@ -205,7 +206,7 @@ def _heavy(pairs: DataFrame, side: str) -> DataFrame | None:
 
 
 def _with_segments(rows: DataFrame, segments: DataFrame, heavy: DataFrame | None, side: str, on: list[str], value: str) -> DataFrame:
-    """rows with the segments of the sets in column side. segments: bucketed by digest."""
+    """rows with the segments of the sets in column side. segments: bucketed as the join needs them."""
     named = segments.withColumnsRenamed({"digest": side, "segment": value})
     if heavy is None:
         return rows.join(named, on)
@@ -217,19 +218,31 @@ def _with_segments(rows: DataFrame, segments: DataFrame, heavy: DataFrame | None
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (l, r, nl, nr) that link: overlaps are counted by fragment and summed by pair."""
-    rows = _with_segments(pairs, segments, _heavy(pairs, "l"), "l", ["l"], "ls")
+    rows = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS))))
+    rows = _with_segments(rows, segments, _heavy(pairs, "l"), "l", ["l", "fragment"], "ls")
     rows = _with_segments(rows, segments, _heavy(pairs, "r"), "r", ["r", "fragment"], "rs")
     partial = rows.select("l", "r", "nl", "nr", F.size(F.array_intersect("ls", "rs")).alias("overlap"))
     summed = partial.groupBy("l", "r", "nl", "nr").agg(F.sum("overlap").alias("overlap"))
     return summed.where(F.lit(100) * F.col("overlap") >= percent * (F.col("nl") + F.col("nr") - F.col("overlap")))
 
 
+def _least_shared(percent: int) -> Column:
+    """Prefix shingles that the sets of a link share at least (sizes nl <= nr). One of two prefixes ends first in the order;
+    what the sets share beyond its end lies in the rest of that set, which has least_overlap(n) - 1 shingles."""
+    return F.expr(f"({percent}L * (nl + nr) + {99 + percent}) div {100 + percent} - ({percent}L * nr + 99) div 100 + 1")
+
+
 def _promising(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (l, r, nl, nr; nl <= nr) of the first round: of fitting sizes, and met in a third of the prefix
-    shingles that a link shares. One of two prefixes ends first in the order; what the sets share beyond its end
-    lies in the rest of that set, which has least_overlap(n) - 1 shingles."""
-    least = F.expr(f"({percent}L * (nl + nr) + {99 + percent}) div {100 + percent} - ({percent}L * nr + 99) div 100 + 1")
-    return pairs.where(_long_enough(F.col("nl"), F.col("nr"), percent) & (3 * F.col("shared") >= least)).drop("shared")
+    """The pairs (l, r, nl, nr) of the first round: of fitting sizes, and met in a third of the prefix shingles that a link
+    shares."""
+    return pairs.where(_long_enough(F.col("nl"), F.col("nr"), percent) & (3 * F.col("shared") >= _least_shared(percent))).drop("shared")
+
+
+def _possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share as many prefix shingles as a link's sets must. rows: all lists of two sets or more."""
+    own = lambda side: rows.select("token", F.col("digest").alias(side))
+    shared = pairs.join(own("l"), "l").join(own("r"), ["r", "token"]).groupBy("l", "r", "nl", "nr").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= _least_shared(percent)).drop("shared")
 
 
 def _few(ids: DataFrame):
@@ -249,8 +262,8 @@ def _segments_of(pairs: DataFrame, texts: DataFrame, order) -> tuple[str, str]:
         made = made.join(ids, "digest", "left_semi")
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name, path = fresh_table(spark, "segments")
-    made = made.repartition(buckets, "digest").dropDuplicates(["digest", "fragment"])
-    made.write.format("parquet").bucketBy(buckets, "digest").option("path", path).saveAsTable(name)
+    made = made.repartition(buckets, "digest", "fragment").dropDuplicates(["digest", "fragment"])
+    made.write.format("parquet").bucketBy(buckets, "digest", "fragment").option("path", path).saveAsTable(name)
     return name, path
 
 
@@ -290,10 +303,10 @@ def _classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # lists of sets by prefix shingle, without lists of one set
     lists = W.partitionBy("token", "salt").orderBy("n", "digest")
     rows = texts.mapInArrow(_prefixes(order, percent), "token long, salt int, digest long, n int, pos int, score float")
-    rows = rows.withColumn("prev", F.lag("digest").over(lists)).withColumn("prev_n", F.lag("n").over(lists)).withColumn("next", F.lead("digest").over(lists))
-    rows = rows.withColumn("hub", F.max(F.struct("score", "n", "digest")).over(W.partitionBy("token", "salt")))
-    new, last = F.coalesce(F.col("prev") != F.col("digest"), F.lit(False)), F.coalesce(F.col("next") != F.col("digest"), F.lit(False))
-    rows = rows.where(new | last | (F.col("salt") > 0) & F.col("prev").isNull()).withColumn("prev", F.when(new, F.col("prev")))
+    whole = W.partitionBy("token", "salt")
+    rows = rows.withColumn("prev", F.lag("digest").over(lists)).withColumn("prev_n", F.lag("n").over(lists)).withColumn("hub", F.max(F.struct("score", "n", "digest")).over(whole))
+    several = F.min("digest").over(whole) != F.max("digest").over(whole)
+    rows = rows.withColumn("several", several).where((F.col("several") | (F.col("salt") > 0)) & ~F.col("prev").eqNullSafe(F.col("digest")))  # each set once
     rows = written(rows.select("token", "digest", "n", "pos", "salt", "score", "prev", "prev_n", F.col("hub.n").alias("hub_n"), F.col("hub.digest").alias("hub")), "lists")
 
     # first candidates: neighbours in a list, and every set with the list's hub, the set that holds most common shingles
@@ -307,35 +320,53 @@ def _classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = first.groupBy(F.col("x.d").alias("l"), F.col("y.d").alias("r"), F.col("x.n").alias("nl"), F.col("y.n").alias("nr")).agg(F.count("*").alias("shared"))
     # those that meet in a few lists only are left to the second round
     first = written(_promising(first, percent), "pairs")
-    links = _checked(first, texts, order, percent)
+    release(spark)
+    likely = written(_possible(first, rows, percent), "pairs")
+    links = _checked(likely, texts, order, percent)
     linked = components(links)
+    release(spark)
 
     # pairs of lists that are in different components still
-    members = rows.select("token", "digest", "n", "pos").distinct().join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    members = written(members, "members")
+    root_of = linked.select(F.col("node").alias("digest"), "root")
+    root_of = F.broadcast(root_of) if linked.count() <= MOST_HEAVY else root_of
+    members = written(rows.select("token", "digest", "n", "pos").join(root_of, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "members")
+    release(spark)
     shares = members.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("roots")).where("roots > 1")
     parts = F.ceil(F.col("all") * (F.col("all") - F.col("top.c")) / LOOKED_AT).cast("int")
     mixed = members.join(shares.select("token", F.col("top.root").alias("main"), parts.alias("parts")), "token").withColumn("sizes", _size_class("n", percent))
+    mixed = written(mixed, "mixed")
     few = mixed.where("root != main").select("token", F.explode(F.expr("sequence(sizes - 1, sizes + 1)")).alias("sizes"), F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part"), F.col("digest").alias("d1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("root").alias("r1"))
-    mixed = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = few.join(mixed, ["token", "sizes", "part"]).where((F.col("r1") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("d1") < F.col("digest"))))
+    dealt = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = few.join(dealt, ["token", "sizes", "part"]).where((F.col("r1") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("d1") < F.col("digest"))))
     # the first shingle that a link's sets share leaves them room for their overlap
     met = met.where(F.expr(f"least(n - pos, n1 - pos1) >= ({percent}L * (n + n1) + {99 + percent}) div {100 + percent}"))
     swap = F.col("n1") < F.col("n")
     swap = swap | (F.col("n1") == F.col("n")) & (F.col("d1") < F.col("digest"))
     second = met.select(F.when(swap, F.col("d1")).otherwise(F.col("digest")).alias("l"), F.when(swap, F.col("digest")).otherwise(F.col("d1")).alias("r"), F.least("n", "n1").alias("nl"), F.greatest("n", "n1").alias("nr")).distinct()
-    second = written(second.join(first.select("l", "r"), ["l", "r"], "left_anti"), "pairs")
-    forget(rows, members)
+    met = written(second.join(first.select("l", "r"), ["l", "r"], "left_anti"), "met")
+    second = written(_possible(met, rows, percent), "pairs")
+    forget(rows, members, mixed, met, likely)
+    release(spark)
     if not second.isEmpty():
         more = _checked(second, texts, order, percent)
         linked = components(more.union(linked))
         forget(more)
     forget(first, second, links)
+    release(spark)
 
     # the least id of each class, back to the rows
     least = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n")).join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("all"), F.count("*").alias("sets"))
-    return sets, least.join(roots, "root").select("digest", "root", "component_id", "copies", "n", "all", "sets")
+    return sets, _with_roots(written(least, "sets"), roots).select("digest", "root", "component_id", "copies", "n", "all", "sets")
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with what roots has of their components. Those of many sets, of which there are few, are broadcast."""
+    many = written(roots.where(F.col("sets") > HEAVY), "roots")
+    if not (n := many.count()):
+        return rows.join(roots, "root")
+    large = F.broadcast(many) if n <= MOST_HEAVY else many
+    return rows.join(large, "root").union(rows.join(large.select("root"), "root", "left_anti").join(roots.where(F.col("sets") <= HEAVY), "root"))
 
 
 def _size_class(n: str, percent: int) -> Column:
