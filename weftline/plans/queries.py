@@ -417,7 +417,7 @@ def metric_sql(value: str, rows: str = "p_windows", threshold: float = FRAME**2)
 
 
 def rounded(sql: str) -> str:
-    return f'SELECT chrom, start, "end", round(value, 6) AS value FROM ({sql})'
+    return f'SELECT chrom, start, "end", round(value, 6) + 0.0::DOUBLE AS value FROM ({sql})'
 
 
 MEAN_RANK = "rank() OVER (PARTITION BY chrom, bin ORDER BY {c}) + (count(*) OVER (PARTITION BY chrom, bin, {c}) - 1) / 2"
@@ -435,7 +435,8 @@ part("p_pbad", metric_sql(PBAD))
 
 
 def _round_value(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", F.round("value", 6))
+    """Rounded, a negative zero as zero."""
+    return df.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 def _metric(name: str):
@@ -485,7 +486,7 @@ def bedgraph(spark, sf_dir):
     return _round_value(P.ordered_bedgraph(P.metric(c.dedup(), RES, frame=FRAME, name="log"), c.a.fai))
 
 
-@query("bedgraph_file", f"SELECT row_number() OVER (ORDER BY ord, start, \"end\") AS place, chrom, start, \"end\", round(value, 6) AS value FROM ({METRIC_SQL['log']}) JOIN p_fai_a USING (chrom)")
+@query("bedgraph_file", f"SELECT row_number() OVER (ORDER BY ord, start, \"end\") AS place, chrom, start, \"end\", round(value, 6) + 0.0::DOUBLE AS value FROM ({METRIC_SQL['log']}) JOIN p_fai_a USING (chrom)")
 def bedgraph_file(spark, sf_dir):
     c = comparison(spark, sf_dir)
     return _round_value(again(spark, lambda path: T.write_rows(P.ordered_bedgraph(P.metric(c.dedup(), RES, frame=FRAME, name="log"), c.a.fai), path), T.read_bedgraph))
