@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .common import SPACES, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
@@ -28,11 +29,28 @@ SYMBOLS = "#*$%&|<>"
 LEAST_DOCS = 8
 
 
+def _blanks(text: Column, white: str) -> Column:
+    for c in white:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words_of(text: Column) -> Column:
     """Words without a regex: other white space becomes a blank, and empty pieces go."""
-    for c in SPACES[1:]:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    return F.filter(F.split(_blanks(text, SPACES[1:]), " "), lambda w: w != "")
+
+
+def _normal_lines(text: Column) -> Column:
+    """Of each line: the hash of its words in lower case, and their number."""
+    lines = F.split(F.lower(_blanks(text, SPACES[1:].replace("\n", ""))), "\n")
+    words = F.transform(lines, lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    return F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("hash"), F.size(w).alias("words")))
+
+
+def _key(host_col: str, text_col: str) -> list[Column]:
+    """What stands for a document of a host: the host, and the hash and size of the text."""
+    text = text_or_empty(text_col)
+    return [F.col(host_col).alias("host"), F.xxhash64(text).alias("doc"), F.octet_length(text).alias("size")]
 
 
 def _stripped(text: Column, chars: str) -> Column:
@@ -74,31 +92,22 @@ def base_rules(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     )
 
 
-def depleted_documents(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(host, text hash, text size, gone) of every document that holds lines above the limits: the
-    number of words of such lines."""
-    copies, rows = _rows(docs, host_col, text_col)
+def _rows(keyed: DataFrame) -> DataFrame:
+    """host, doc, size, hash, words: the words of a document's lines by the lines' hash; those of copies are summed."""
+    lines = keyed.select("host", "doc", "size", F.explode("lines").alias("line")).select("host", "doc", "size", "line.*")
+    return lines.where("words > 0").groupBy("host", "doc", "size", "hash").agg(F.sum("words").alias("words"))
+
+
+def depleted_documents(keyed: DataFrame, *, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(host, doc, size, gone) of every document that holds lines above the limit: the number of words of such lines.
+    keyed: host, doc, size and lines of documents."""
+    copies = keyed.groupBy("host", "doc", "size").agg(F.count("*").alias("copies"))
+    rows = _rows(keyed)
     found = rows.alias("r").join(_frequent(rows, least_docs).alias("f"), F.expr("r.host <=> f.host and r.hash = f.hash"))
     gone = found.groupBy("r.host", "doc", "size").agg(F.sum("words").alias("words"))
     return gone.alias("g").join(copies.alias("c"), F.expr("g.host <=> c.host and g.doc = c.doc and g.size = c.size")).select("g.host", "g.doc", "g.size", (F.col("words") / F.col("copies")).alias("gone"))
 
 
-def _normal(line: Column) -> tuple[Column, Column]:
-    """The hash of a line's words in lower case, and their number."""
-    words = words_of(line)
-    return F.xxhash64(F.lower(F.array_join(words, " "))), F.size(words)
-
-
-def _rows(docs: DataFrame, host_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The copies of each distinct document of a host, and the words that its lines have (those of copies summed), by hash."""
-    text = text_or_empty(text_col)
-    key = [F.col(host_col).alias("host"), F.xxhash64(text).alias("doc"), F.octet_length(text).alias("size")]
-    copies = docs.select(*key).groupBy("host", "doc", "size").agg(F.count("*").alias("copies"))
-    hashed, words = _normal(F.col("line"))
-    lines = docs.select(*key, F.explode(F.split(text, "\n")).alias("line")).select("host", "doc", "size", hashed.alias("hash"), words.alias("words"))
-    return copies, lines.where("words > 0").groupBy("host", "doc", "size", "hash").agg(F.sum("words").alias("words"))
-
-
 def _frequent(rows: DataFrame, least_docs: int) -> DataFrame:
     return rows.groupBy("host", "hash").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") >= least_docs).select("host", "hash")
 
@@ -107,28 +116,27 @@ def without_frequent_lines(docs: DataFrame, *, host_col: str = "source", text_co
     """docs with their texts without the lines above the limit. A null text stays null; texts without such lines stay as they
     are; other columns, whatever their names, too.
 
-    Only (host, document, line number) of frequent lines are joined back, by the documents' hashes.
+    Only documents' keys and the hashes of their frequent lines are joined back.
     """
     text = text_or_empty(text_col)
-    key = [F.col(host_col).alias("host"), F.xxhash64(text).alias("doc"), F.octet_length(text).alias("size")]
-    _, rows = _rows(docs, host_col, text_col)
+    lines = _normal_lines(text).alias("lines")
+    rows = _rows(docs.select(*_key(host_col, text_col), lines))
     found = rows.alias("r").join(_frequent(rows, least_docs).alias("f"), F.expr("r.host <=> f.host and r.hash = f.hash")).groupBy("r.host", "doc", "size").agg(F.collect_list("r.hash").alias("hashes"))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), *key)
-    held = held.alias("d").join(found.alias("g"), F.expr("d.host <=> g.host and d.doc = g.doc and d.size = g.size"), "left")
-    left = F.filter(F.split("text", "\n"), lambda x: (_normal(x)[1] == 0) | ~F.array_contains("hashes", _normal(x)[0]))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), *_key(host_col, text_col))
+    held = held.alias("d").join(found.alias("g"), F.expr("d.host <=> g.host and d.doc = g.doc and d.size = g.size"), "left").withColumn("lines", F.when(F.col("hashes").isNotNull(), _normal_lines(F.col("text"))))
+    line = lambda i: F.get(F.col("lines"), i)
+    left = F.filter(F.split("text", "\n"), lambda x, i: (line(i)["words"] == 0) | ~F.array_contains("hashes", line(i)["hash"]))
     clean = F.when(F.col("hashes").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     held = held.select("row", clean.alias("clean"))
     return held.select(*(F.col("clean" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", least_left: float = 0.25, **limits) -> DataFrame:
-    """The base counts, base_failed, and kept: neither base_failed nor depleted."""
-    gone = depleted_documents(docs, host_col=host_col, text_col=text_col, **limits)
+    """The base counts, base_failed, and kept: neither base_failed nor depleted. Texts are read once, to slim rows."""
     base = base_rules(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text")))
-    base = base.select("doc_id", "host", F.xxhash64(text_or_empty("text")).alias("doc"), F.octet_length(text_or_empty("text")).alias("size"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    slim = written(base.select("doc_id", *_key("host", "text"), *counts, _normal_lines(text_or_empty("text")).alias("lines")), "lines")
+    gone = depleted_documents(slim, **limits)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    copies = base.alias("b").join(gone.alias("g"), F.expr("b.host <=> g.host and b.doc = g.doc and b.size = g.size"), "left")
-    return copies.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & ~(F.coalesce(F.col("gone"), F.lit(0)) > (1 - least_left) * F.col("n_words"))).alias("kept"),
-    )
+    rows = slim.alias("b").join(gone.alias("g"), F.expr("b.host <=> g.host and b.doc = g.doc and b.size = g.size"), "left")
+    return rows.select("doc_id", *counts, failed.alias("base_failed"), (~failed & ~(F.coalesce(F.col("gone"), F.lit(0)) > (1 - least_left) * F.col("n_words"))).alias("kept"))
