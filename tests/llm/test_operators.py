@@ -419,7 +419,7 @@ def variants(rng, n):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"COMMON": 2, "LIST": 3, "SHARE": 2000, "MOST_NODES": 5, "SAMPLED": 2, "SEEN": 4, "HEAVY": 2, "LOOKED_AT": 20, "BLOCK_SETS": 3, "COLUMNS": 7}, {"HEAVY": 1, "MOST_HEAVY": 1, "BLOCK_SHINGLES": 200}])
+@pytest.mark.parametrize("limits", [{}, {"COMMON": 2, "LIST": 3, "SHARE": 2000, "MOST_NODES": 5, "SAMPLED": 2, "SEEN": 4, "HEAVY": 2, "LOOKED_AT": 20, "BLOCK_SETS": 3, "COLUMNS": 7}, {"HEAVY": 1, "MOST_HEAVY": 1, "BLOCK_SHINGLES": 200, "MOST_TEXTS": 1}])
 def test_classes_match_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard_join, k, v)

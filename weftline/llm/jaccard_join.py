@@ -54,6 +54,8 @@ SHARE, SAMPLED = 1 << 20, 32
 COMMON, MOST_COMMON = 8, 1 << 20
 #: Sets that one list holds before it is salted, and node digests (8 bytes each) that may be broadcast.
 LIST, MOST_NODES = 20_000, 1 << 21
+#: Sets whose texts are picked out by a broadcast of their hashes (8 bytes each).
+MOST_TEXTS = 1 << 20
 #: Digests that a task remembers in order to leave out repeats early.
 SEEN = 100_000
 #: Pairs of one set, and pairs to be looked at for one token, that go to one task; sets spread so that may be broadcast.
@@ -245,6 +247,15 @@ def _possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("shared") >= _least_shared(percent)).drop("shared")
 
 
+def _texts_of(texts: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text of each set in ids, found by the texts' hashes, so that workers only get those; all texts where ids are too
+    many for a broadcast."""
+    if ids.limit(MOST_TEXTS + 1).count() > MOST_TEXTS:
+        return texts
+    hashes = sets.join(F.broadcast(ids), "digest").groupBy("digest").agg(F.min("h").alias("h")).select("h")
+    return texts.join(F.broadcast(hashes), _text_hash("text") == F.col("h"), "left_semi")
+
+
 def _few(ids: DataFrame):
     """The sorted values of a column of distinct digests as a broadcast, or None if they are too many."""
     if ids.limit(MOST_NODES + 1).count() > MOST_NODES:
@@ -252,12 +263,12 @@ def _few(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["digest"].to_numpy()))
 
 
-def _segments_of(pairs: DataFrame, texts: DataFrame, order) -> tuple[str, str]:
+def _segments_of(pairs: DataFrame, texts: DataFrame, sets: DataFrame, order) -> tuple[str, str]:
     """Name and path of a table of the segments of all sets in pairs, bucketed for both of their joins."""
     spark = texts.sparkSession
-    ids = pairs.select(F.explode(F.array("l", "r")).alias("digest")).distinct()
+    ids = written(pairs.select(F.explode(F.array("l", "r")).alias("digest")).distinct(), "ids")
     nodes = _few(ids)
-    made = texts.mapInArrow(_segments(order, nodes), "digest long, fragment int, segment array<long>")
+    made = _texts_of(texts, sets, ids).mapInArrow(_segments(order, nodes), "digest long, fragment int, segment array<long>")
     if nodes is None:
         made = made.join(ids, "digest", "left_semi")
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -267,10 +278,10 @@ def _segments_of(pairs: DataFrame, texts: DataFrame, order) -> tuple[str, str]:
     return name, path
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, order, percent: int) -> DataFrame:
+def _checked(pairs: DataFrame, texts: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame:
     """The pairs that link, written; their segments are dropped again."""
     spark = texts.sparkSession
-    name, path = _segments_of(pairs, texts, order)
+    name, path = _segments_of(pairs, texts, sets, order)
     found = written(_linked(pairs, spark.table(name), percent).select("l", "r"), "links")
     drop_table(spark, name, path)
     return found
@@ -322,7 +333,7 @@ def _classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = written(_promising(first, percent), "pairs")
     release(spark)
     likely = written(_possible(first, rows, percent), "pairs")
-    links = _checked(likely, texts, order, percent)
+    links = _checked(likely, texts, sets, order, percent)
     linked = components(links)
     release(spark)
 
@@ -348,7 +359,7 @@ def _classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     forget(rows, members, mixed, met, likely)
     release(spark)
     if not second.isEmpty():
-        more = _checked(second, texts, order, percent)
+        more = _checked(second, texts, sets, order, percent)
         linked = components(more.union(linked))
         forget(more)
     forget(first, second, links)
@@ -424,7 +435,7 @@ def _tiles(percent: int):
     return tidied(run)
 
 
-def _link_counts(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _link_counts(classes: DataFrame, texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(digest, linked) of the sets in components of three sets or more. classes: a written table."""
     spark = texts.sparkSession
     own = classes.where("sets > 2").select("digest", "root", "copies", "n", _size_class("n", percent).alias("s"))
@@ -445,8 +456,9 @@ def _link_counts(classes: DataFrame, texts: DataFrame, percent: int) -> DataFram
     zero = F.lit(0)
     tiles = F.when(F.col("ks").isNull(), F.array(tile(zero, zero, zero, zero, 2))).otherwise(F.concat(within, above, below))
     dealt = dealt.select("root", "digest", "n", "copies", F.explode(tiles).alias("t")).select("root", "t.*", "digest", "n", "copies")
-    sets = texts.mapInArrow(_whole_sets(_few(own.select("digest"))), "digest long, shingles array<long>")
-    joined = dealt.join(sets.dropDuplicates(["digest"]), "digest").select("root", "s1", "k1", "s2", "k2", "side", "digest", "n", "copies", "shingles")
+    ids = own.select("digest")
+    whole = _texts_of(texts, sets, ids).mapInArrow(_whole_sets(_few(ids)), "digest long, shingles array<long>")
+    joined = dealt.join(whole.dropDuplicates(["digest"]), "digest").select("root", "s1", "k1", "s2", "k2", "side", "digest", "n", "copies", "shingles")
     keys = ["root", "s1", "k1", "s2", "k2"]
     held = joined.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys).sortWithinPartitions(*keys)
     return held.mapInArrow(_tiles(percent), "digest long, linked long").groupBy("digest").agg(F.sum("linked").alias("linked"))
@@ -456,7 +468,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """doc_id, n_shingles, component_id (the least id reachable by links) and n_links (of other rows) of every row of docs."""
     sets, classes = _classes(docs, id_col=id_col, text_col=text_col, percent=percent)
     classes = written(classes, "classes")
-    counts = _link_counts(classes, docs.select(F.col(text_col).cast("string").alias("text")), percent)
+    counts = _link_counts(classes, docs.select(F.col(text_col).cast("string").alias("text")), sets, percent)
     # one or two sets: all rows of the component link with each other
     linked = F.col("copies") - 1 + F.when(F.col("sets") <= 2, F.col("all") - F.col("copies")).otherwise(F.coalesce("linked", F.lit(0)))
     classes = classes.join(counts, "digest", "left").select("digest", "component_id", linked.cast("long").alias("n_links"))
