@@ -16,7 +16,6 @@ empty tables give no rows; other columns are ignored; texts are always scanned w
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 from re import _constants as C
