@@ -587,7 +587,7 @@ def test_caches_change_nothing(spark, monkeypatch, odd_docs):
     row = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, pytest.approx(r.base_score), pytest.approx(r.score, rel=1e-6), pytest.approx(r.bits_per_byte, rel=1e-6))
     rows = lambda: [row(r) for r in sorted(context_tree.score_texts(odd_docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))]
     want = rows()
-    for k, v in {"CACHED_WORDS": 3, "CACHED": 50, "HELD": 500, "PARTS": 7}.items():
+    for k, v in {"CACHED_WORDS": 3, "CACHED": 50, "HELD": 500, "PARTS": 7, "WAITING": 1}.items():
         monkeypatch.setattr(context_tree, k, v)
     assert [x[:4] for x in rows()] == [x[:4] for x in want] and rows() == want
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, groups, ready, sub_batches, tidied, written
+from .common import fold_of, ready, sub_batches, tidied, written
 from .shingles import joined, words_in
 
 DEPTH = 6
@@ -44,6 +44,8 @@ DEPTH = 6
 CACHED, CACHED_WORDS = 1 << 21, 1 << 17
 #: Runs and words that a task holds before it sends their counts on, and parts that they are dealt into.
 HELD, PARTS = 1 << 21, 512
+#: Numbers of a part that wait at least, before they are merged.
+WAITING = 1 << 17
 END = 0xFF
 #: The number of a text's end among words.
 END_WORD = np.uint64(0x9B05688C2B3E6C1F)
@@ -115,14 +117,20 @@ class Counts:
         self.raw, self.n_raw = [], 0
 
     def merge(self, keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> None:
-        """keys: sorted."""
+        """keys: sorted, each once."""
         if len(self.keys):
-            keys, n, m = np.concatenate([self.keys, keys]), np.concatenate([self.n, n]), np.concatenate([self.m, m])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            at = _runs_of(keys)
-            keys, n, m = keys[at], np.add.reduceat(n[order], at, dtype=self.kind), np.add.reduceat(m[order], at, dtype=self.kind)
-        self.keys, self.n, self.m = keys, n, m
+            self.merge_all([(keys, n, m)])
+        else:
+            self.keys, self.n, self.m = keys, n, m
+
+    def merge_all(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        if not parts:
+            return
+        keys, n, m = (np.concatenate(x) for x in zip((self.keys, self.n, self.m), *parts))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = _runs_of(keys)
+        self.keys, self.n, self.m = keys[at], np.add.reduceat(n[order], at, dtype=self.kind), np.add.reduceat(m[order], at, dtype=self.kind)
 
 
 def part_of(keys: np.ndarray, grams: bool) -> np.ndarray:
@@ -328,15 +336,30 @@ def _merged(batches):
     def rows(n, given):
         return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names, types)], names=names)
 
-    for (kind, part), t in groups(batches, 2):
-        counts = Counts()
-        for keys, n, m in zip(*(t[c] for c in ("keys", "n", "m"))):
-            counts.merge(np.frombuffer(keys.as_py(), np.uint64), *(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in (n, m if kind == 0 else n)))
+    def done(kind: int, part: int, counts: Counts):
         yield rows(1, {"kind": [kind], "part": [part], "keys": [counts.keys.tobytes()], "n": [counts.n.tobytes()], "m": [counts.m.tobytes()]})
         if kind == 0 and counts.n.any():
             key, zeros, ones, below = Subtrees(counts.keys, counts.n).summary()
             yield rows(len(key), {"kind": np.full(len(key), 2, np.int8), "key": key.astype(np.int32), "zeros": zeros, "ones": ones, "below": below})
 
+    # blobs wait until they are as many numbers as the part has, so each number is sorted a few times only
+    now, counts, waiting, n_waiting = None, Counts(), [], 0
+    for batch in batches:
+        for kind, part, keys, n, m in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if now != (kind, part):
+                if now is not None:
+                    counts.merge_all(waiting)
+                    yield from done(*now, counts)
+                now, counts, waiting, n_waiting = (kind, part), Counts(), [], 0
+            waiting.append((np.frombuffer(keys, np.uint64), *(np.frombuffer(x, np.int32).astype(np.int64) for x in (n, m if kind == 0 else n))))
+            n_waiting += len(waiting[-1][0])
+            if n_waiting >= max(WAITING, len(counts.keys)):
+                counts.merge_all(waiting)
+                waiting, n_waiting = [], 0
+    if now is not None:
+        counts.merge_all(waiting)
+        yield from done(*now, counts)
+
 
 def _values(top):
     """(gram, bits, m): log2 of the probability of every run's last byte, and how often texts hold it."""
