@@ -43,6 +43,8 @@ QUERY_PART, CANDIDATE_PART = 256, 4096
 EXACT = 1024
 #: Candidates of a block that may survive for a query, as a multiple of k; queries with more take the exact pass there.
 MOST_SURVIVORS = 32
+#: Rows (of hashes and ids) that may be broadcast.
+MOST_BROADCAST = 1 << 20
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def _codes(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = batch.column(3).values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
         q, power, *numbers = quantised(x)
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array([row.tobytes() for row in q], pa.binary()), pa.array(power.astype(np.int32)), *map(pa.array, numbers)], names=["vec_id", "asks", "rival", "codes", "power", "scale", "norm", "kept", "error"])
 
@@ -152,17 +154,24 @@ def _matrix(x: pd.Series) -> np.ndarray:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query row."""
     ready(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector_col).cast("array<double>").alias("x"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector_col).cast("array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>").alias("x"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0))
     sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
     dim, n, n_asks = sizes[0] if sizes else (1, 0, 0)
     rows = rows.where(sound(F.col("x"), F.lit(dim)))
     c_blocks, q_blocks = max(1, math.ceil(n / CANDIDATE_BLOCK)), max(1, math.ceil(n_asks / QUERY_BLOCK))
     # of equal vectors the k + 1 least ids are candidates; the others may ask
-    copies = W.partitionBy("h").orderBy("vec_id")
     hashed = rows.select("vec_id", "asks", F.struct(F.xxhash64("x"), F.hash("x")).alias("h"), "x")
-    rival = hashed.select("h", "vec_id").distinct().withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k + 1).select("h", "vec_id", F.lit(True).alias("rival"))
-    slim = hashed.join(rival, ["h", "vec_id"], "left").select("vec_id", "asks", F.coalesce("rival", F.lit(False)).alias("rival"), "x").where("asks or rival")
+    often = written(hashed.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > k + 1).select("h"), "often")
+    n_often = often.count()
+    slim = hashed.withColumn("rival", F.lit(True))
+    if n_often:
+        bounded = lambda df, n: F.broadcast(df) if n <= MOST_BROADCAST else df
+        copies = hashed.select("h", "vec_id").join(bounded(often, n_often), "h", "left_semi").distinct()
+        rival = copies.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("h", "vec_id")
+        marks = bounded(often.select("h", F.lit(True).alias("many")), n_often)
+        slim = hashed.join(marks, "h", "left").join(bounded(rival.withColumn("first", F.lit(True)), n_often * (k + 1)), ["h", "vec_id"], "left").withColumn("rival", F.col("many").isNull() | F.col("first").isNotNull())
+    slim = slim.select("vec_id", "asks", "rival", "x").where("asks or rival")
     slim = written(slim, "vectors")
     codes = written(slim.select("vec_id", "asks", "rival", "x").mapInArrow(_codes, CODES), "codes")
     most = codes.where("rival").agg(F.coalesce(F.max("power"), F.lit(0))).first()[0]
