@@ -7,7 +7,7 @@ import pytest
 
 from weftline.plans import queries as Q
 
-NAMES = ("lift_dedup",)
+NAMES = ("lift_dedup", "hist_distance",)
 
 
 def shuffled(spark) -> int:
