@@ -7,7 +7,7 @@ import pytest
 
 from weftline.plans import queries as Q
 
-NAMES = ("lift_dedup", "hist_distance", "shuffle_control", "metric_control", "metric_pbad",)
+NAMES = ("lift_dedup", "hist_distance", "shuffle_control", "metric_control", "metric_pbad", "metric_stripe",)
 
 
 def shuffled(spark) -> int:
