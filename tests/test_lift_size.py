@@ -7,7 +7,7 @@ import pytest
 
 from weftline.plans import queries as Q
 
-NAMES = ("lift_dedup", "hist_distance", "shuffle_control", "metric_control", "metric_pbad", "metric_stripe",)
+NAMES = ("lift_dedup", "hist_distance", "shuffle_control", "metric_control", "metric_pbad", "metric_stripe", "bedgraph_file",)
 
 
 def shuffled(spark) -> int:
