@@ -7,7 +7,7 @@ import pytest
 
 from weftline.plans import queries as Q
 
-NAMES = ("lift_dedup", "hist_distance", "shuffle_control", "metric_control", "metric_pbad", "metric_stripe", "bedgraph_file", "color_limit", "matrix_diff",)
+NAMES = ("lift_dedup", "hist_distance", "shuffle_control", "metric_control", "metric_pbad", "metric_stripe", "bedgraph_file", "color_limit", "matrix_diff", "cool_pixels_control",)
 
 
 def shuffled(spark) -> int:
