@@ -7,7 +7,7 @@ import pytest
 
 from weftline.plans import queries as Q
 
-NAMES = ("lift_dedup", "hist_distance", "shuffle_control", "metric_control", "metric_pbad", "metric_stripe", "bedgraph_file", "color_limit", "matrix_diff", "cool_pixels_control", "matrix_ctrl", "matrix_split", "metric_hist", "metric_kde", "metric_loci",)
+NAMES = ("lift_dedup", "hist_distance", "shuffle_control", "metric_control", "metric_pbad", "metric_stripe", "bedgraph_file", "color_limit", "matrix_diff", "cool_pixels_control", "matrix_ctrl", "matrix_split", "metric_hist", "metric_kde", "metric_loci", "lift_losers",)
 
 
 def shuffled(spark) -> int:
