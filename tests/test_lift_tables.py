@@ -7,7 +7,7 @@ import pytest
 from weftline import storage
 from weftline.plans import queries as Q
 
-NAMES = ("bedgraph_file", "color_limit",)
+NAMES = ("bedgraph_file", "color_limit", "cool_pixels_control",)
 
 
 def kept(since: int) -> int:
