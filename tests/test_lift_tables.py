@@ -7,7 +7,7 @@ import pytest
 from weftline import storage
 from weftline.plans import queries as Q
 
-NAMES = ("bedgraph_file", "color_limit", "cool_pixels_control", "matrix_diff", "metric_control", "metric_pbad",)
+NAMES = ("bedgraph_file", "color_limit", "cool_pixels_control", "matrix_diff", "metric_control", "metric_pbad", "metric_stripe",)
 
 
 def kept(since: int) -> int:
