@@ -7,7 +7,7 @@ import pytest
 from weftline import storage
 from weftline.plans import queries as Q
 
-NAMES = ("bedgraph_file", "color_limit", "cool_pixels_control", "matrix_diff", "metric_control", "metric_pbad", "metric_stripe", "matrix_ctrl", "matrix_split", "metric_hist", "metric_kde", "metric_loci", "shuffle_control", "hist_distance",)
+NAMES = ("bedgraph_file", "color_limit", "cool_pixels_control", "matrix_diff", "metric_control", "metric_pbad", "metric_stripe", "matrix_ctrl", "matrix_split", "metric_hist", "metric_kde", "metric_loci", "shuffle_control", "hist_distance", "lift_losers",)
 
 
 def kept(since: int) -> int:
