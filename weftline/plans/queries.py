@@ -499,7 +499,7 @@ def shuffle_control(spark, sf_dir):
 
 @query("metric_control", rounded(metric_sql(LOG, f"({windows_sql('p_shuffled')})")))
 def metric_control(spark, sf_dir):
-    return _round_value(P.metric(P.shuffled_contacts(comparison(spark, sf_dir).dedup(), SEED), RES, frame=FRAME, name="log"))
+    return _round_value(P.metric(P.shuffled_contacts(comparison(spark, sf_dir).dedup().select("chrom1", "b1", "chrom2", "b2", "obs", "ctrl"), SEED), RES, frame=FRAME, name="log"))
 
 
 def hist_sql(v: str, lo: float, hi: float, n: int) -> str:
