@@ -9,7 +9,7 @@ from weftline.plans import queries as Q
 
 from test_lift_size import shuffled
 
-NAMES = ("color_limit", "metric_control", "hist_distance", "shuffle_control", "cool_pixels_control",)
+NAMES = ("color_limit", "metric_control", "hist_distance", "shuffle_control", "cool_pixels_control", "matrix_diff",)
 
 
 def by_writes(spark, monkeypatch, run) -> list[int]:
