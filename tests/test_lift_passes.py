@@ -9,7 +9,7 @@ from weftline.plans import queries as Q
 
 from test_lift_size import shuffled
 
-NAMES = ("color_limit", "metric_control", "hist_distance", "shuffle_control", "cool_pixels_control", "matrix_diff", "metric_pbad", "metric_stripe", "matrix_ctrl", "matrix_split", "metric_hist", "metric_kde",)
+NAMES = ("color_limit", "metric_control", "hist_distance", "shuffle_control", "cool_pixels_control", "matrix_diff", "metric_pbad", "metric_stripe", "matrix_ctrl", "matrix_split", "metric_hist", "metric_kde", "metric_loci",)
 
 
 def by_writes(spark, monkeypatch, run) -> list[int]:
