@@ -611,7 +611,7 @@ def matrix_sql(mode: str) -> str:
 def _matrix(mode: str):
     @query(f"matrix_{mode}", matrix_sql(mode))
     def run(spark, sf_dir):
-        return P.region_matrix(comparison(spark, sf_dir).dedup(), REGION, REGION, RES, mode).select("iy", "ix", F.round("v", 6).alias("v"))
+        return P.region_matrix(comparison(spark, sf_dir).dedup_within(REGION), REGION, REGION, RES, mode).select("iy", "ix", F.round("v", 6).alias("v"))
 
 
 for m in P.MODES:
@@ -626,7 +626,7 @@ def matrix_split(spark, sf_dir):
 
 @query("color_limit", f"SELECT round(greatest(quantile_cont(abs(v), 0.98), 1e-6), 6) AS \"limit\" FROM ({matrix_sql('diff')})")
 def color_limit(spark, sf_dir):
-    return P.color_limit(P.region_matrix(comparison(spark, sf_dir).dedup(), REGION, REGION, RES, "diff")).select(F.round("limit", 6).alias("limit"))
+    return P.color_limit(P.region_matrix(comparison(spark, sf_dir).dedup_within(REGION), REGION, REGION, RES, "diff")).select(F.round("limit", 6).alias("limit"))
 
 
 CUT = 95_000
