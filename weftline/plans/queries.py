@@ -620,7 +620,7 @@ for m in P.MODES:
 
 @query("matrix_split", f"SELECT coalesce(u.iy, w.iy) AS iy, coalesce(u.ix, w.ix) AS ix, upper, lower FROM (SELECT iy, ix, v AS upper FROM ({matrix_sql('obs')}) WHERE ix >= iy) u FULL JOIN (SELECT iy, ix, v AS lower FROM ({matrix_sql('diff')}) WHERE ix <= iy) w ON u.iy = w.iy AND u.ix = w.ix")
 def matrix_split(spark, sf_dir):
-    d = comparison(spark, sf_dir).dedup()
+    d = comparison(spark, sf_dir).dedup_within(REGION)
     return P.split_matrix(P.region_matrix(d, REGION, REGION, RES, "obs"), P.region_matrix(d, REGION, REGION, RES, "diff"))
 
 
