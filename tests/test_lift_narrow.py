@@ -7,7 +7,7 @@ import pytest
 from weftline.operators import lift as L
 from weftline.plans import queries as Q
 
-REGIONS = ("matrix_diff", "matrix_ctrl", "matrix_split",)
+REGIONS = ("matrix_diff", "matrix_ctrl", "matrix_split", "metric_loci",)
 COLUMNS = {}
 
 

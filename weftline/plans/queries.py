@@ -477,7 +477,7 @@ LOCI = [("c0", 0, 800_000), ("c2", 400_000, 1_200_000), ("c3", 0, 2_000_000)]
 @query("metric_loci", rounded(f"""SELECT d.chrom, d.start, d."end", {PBAD} AS value FROM (VALUES {', '.join(f'({c!r}, {s}, {e})' for c, s, e in LOCI)}) d(chrom, start, "end") JOIN p_dedup c ON c.chrom1 = d.chrom AND c.chrom2 = d.chrom AND c.b1 BETWEEN d.start // {RES} AND d."end" // {RES} AND c.b2 BETWEEN d.start // {RES} AND d."end" // {RES} GROUP BY ALL"""))
 def metric_loci(spark, sf_dir):
     loci = spark.createDataFrame(LOCI, "chrom string, start long, end long")
-    return _round_value(P.metric_loci(comparison(spark, sf_dir).dedup(), loci, RES)).select("chrom", "start", "end", "value")
+    return _round_value(P.metric_loci(comparison(spark, sf_dir).dedup_within(*LOCI), loci, RES)).select("chrom", "start", "end", "value")
 
 
 @query("bedgraph", f"SELECT * FROM ({rounded(METRIC_SQL['log'])})")
