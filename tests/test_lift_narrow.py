@@ -8,7 +8,7 @@ from weftline.operators import lift as L
 from weftline.plans import queries as Q
 
 REGIONS = ("matrix_diff", "matrix_ctrl", "matrix_split", "metric_loci",)
-COLUMNS = {"cool_pixels_control": 10, "metric_stripe": 10, "metric_pbad": 10, "metric_hist": 10, "metric_kde": 10, "shuffle_control": 10}
+COLUMNS = {"cool_pixels_control": 10, "metric_stripe": 10, "metric_pbad": 10, "metric_hist": 10, "metric_kde": 10, "shuffle_control": 10, "hist_distance": 7}
 
 
 @pytest.fixture(scope="module")

@@ -553,7 +553,7 @@ MAP_SQL["distance"] = map_sql(hist2d_sql("p_dist", "db", "da", 0, 5.0, GRID), hi
 
 @query("hist_distance", MAP_SQL["distance"])
 def hist_distance(spark, sf_dir):
-    return _rounded_map(P.distance_map(comparison(spark, sf_dir).rows(), bins=GRID, seed=SEED))
+    return _rounded_map(P.distance_map(comparison(spark, sf_dir).lift().rows(columns=P.DISTANCE), bins=GRID, seed=SEED))
 
 
 def ratio_sql(a: str, b: str) -> str:
